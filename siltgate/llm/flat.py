@@ -73,3 +73,28 @@ def byte_count(raw: np.ndarray, offsets: np.ndarray, chars: str) -> np.ndarray:
     hit = np.zeros(256, np.bool_)
     hit[[ord(c) for c in chars]] = True
     return segments(hit[raw], offsets)
+
+
+def plain_words(column: pa.Array, digits: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """Lower-case words of letters (and digits); ASCII, Latin-1 and general punctuation separates them.
+
+    Separators are blanked in the UTF-8 bytes themselves, character by character, so nothing is re-encoded.
+    """
+    column = pc.utf8_lower(column)
+    raw, off = buffers(column)
+    keep = np.zeros(256, np.bool_)
+    keep[ord("a") : ord("z") + 1] = True
+    keep[0x80:] = True
+    if digits:
+        keep[ord("0") : ord("9") + 1] = True
+    clean = np.where(keep[raw], raw, 0x20).astype(np.uint8)
+    if len(raw) and raw.max() >= 0x80:
+        latin = np.flatnonzero(raw == 0xC2)
+        for k in (0, 1):
+            clean[latin + k] = 0x20
+        wide = np.flatnonzero((raw == 0xE2) | (raw == 0xE3))
+        wide = wide[raw[wide + 1] == 0x80]
+        for k in (0, 1, 2):
+            clean[wide + k] = 0x20
+    made = pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(off.astype(np.int64)), pa.py_buffer(clean))
+    return words(made)
