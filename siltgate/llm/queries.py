@@ -8,8 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltgate.llm import quality_classifier, quality_ledger, simhash, toxicity
+from siltgate.llm import line_dedup, quality_classifier, quality_ledger, simhash, toxicity
 from siltgate.llm.common import table
 
 
@@ -28,6 +29,27 @@ def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_shared_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP7_SQL = """
+WITH base AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+each AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM base),
+keyed AS (
+  SELECT doc_id, pos, line, translate(
+    trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM each),
+shared AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10),
+marked AS (SELECT keyed.*, shared.k IS NOT NULL AS gone FROM keyed LEFT JOIN shared USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.clusters(table(spark, sf_dir, "documents"), words=3, radius=2)
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
@@ -37,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_ledger": op2_quality_ledger,
     "op4_toxicity_chain": op4_toxicity_chain,
+    "op7_line_dedup": op7_line_dedup,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL}
