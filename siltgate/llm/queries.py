@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltgate.llm import line_dedup, quality_classifier, quality_ledger, simhash, toxicity
+from siltgate.llm import line_dedup, quality_classifier, quality_ledger, simhash, tokens, toxicity
 from siltgate.llm.common import table
 
 
@@ -29,6 +29,17 @@ def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def word_tokenizer() -> str:
+    """The vocabulary file of the token query; its place is a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.round_trip(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_shared_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -59,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_ledger": op2_quality_ledger,
     "op4_toxicity_chain": op4_toxicity_chain,
+    "op6_token_ids": op6_token_ids,
     "op7_line_dedup": op7_line_dedup,
     "op10_simhash": op10_simhash,
 }
