@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltgate.llm import line_dedup, quality_classifier, quality_ledger, simhash, tokens, toxicity
+from siltgate.llm import decontaminate, line_dedup, quality_classifier, quality_ledger, simhash, tokens, toxicity
 from siltgate.llm.common import table
 
 
@@ -61,6 +61,10 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.clusters(table(spark, sf_dir, "documents"), words=3, radius=2)
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity_chain": op4_toxicity_chain,
     "op6_token_ids": op6_token_ids,
     "op7_line_dedup": op7_line_dedup,
+    "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL}
