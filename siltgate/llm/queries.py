@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltgate.llm import chat, decontaminate, line_dedup, quality_classifier, quality_ledger, simhash, tokens, toxicity
+from siltgate.llm import chat, decontaminate, line_dedup, mixing, quality_classifier, quality_ledger, simhash, tokens, toxicity
 from siltgate.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_mask")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, names = mixing.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", *[F.col(c).alias(n) for n, c in names.items()])
+
+
 def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -97,6 +102,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_ledger": op2_quality_ledger,
+    "op3_mixing": op3_mixing,
     "op4_toxicity_chain": op4_toxicity_chain,
     "op5_chat": op5_chat,
     "op6_token_ids": op6_token_ids,
