@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltgate.llm import chat, decontaminate, line_dedup, mixing, quality_classifier, quality_ledger, simhash, tokens, toxicity
+from siltgate.llm import chat, decontaminate, licenses, line_dedup, mixing, quality_classifier, quality_ledger, simhash, tokens, toxicity
 from siltgate.llm.common import table
 
 
@@ -90,6 +90,10 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.documents_as_files(table(spark, sf_dir, "documents")), ["doc_id"])
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -107,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat": op5_chat,
     "op6_token_ids": op6_token_ids,
     "op7_line_dedup": op7_line_dedup,
+    "op8_licenses": op8_licenses,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
 }
