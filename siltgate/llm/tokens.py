@@ -7,8 +7,9 @@ lost executor's shard is written again and only committed files count, and any s
 
 The vocabulary lower-cases and splits at white space before anything else, so the ids of a text are the ids of
 its white-space-separated words one after the other; each Python worker therefore encodes a distinct word once
-with the tokenizer, and keeps a bounded memory of words. :func:`word_wise` tells whether a tokenizer works so;
-texts of other tokenizers are encoded whole.
+with the tokenizer, and keeps a bounded memory of words. :func:`pieces` makes more words equal. New words of
+letters are encoded in one string, and told apart by the ids that end words. :func:`word_wise` tells whether a
+tokenizer works so; texts of other tokenizers are encoded whole.
 
 Defined results: null texts are empty; an empty text has only the end id; repeated rows are each encoded (their
 order among themselves is by text); rows with a null id come first; extra columns are not read.
@@ -47,6 +48,53 @@ def word_wise(path: str) -> bool:
     return blank and drops
 
 
+#: Classes of bytes that :func:`pieces` looks at; other bytes have class 0 and are never cut from a neighbour.
+_LETTER, _DIGIT, _MARK, _QUOTE = 1, 2, 3, 4
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = _MARK
+_CLASS[ord("A") : ord("Z") + 1] = 0
+_CLASS[ord("a") : ord("z") + 1] = _LETTER
+_CLASS[ord("0") : ord("9") + 1] = _DIGIT
+_CLASS[ord("'")] = _QUOTE
+#: Where a space may be put in without changing the pieces that the split pattern finds. Not after an apostrophe,
+#: which begins pieces such as 's, and not inside runs of marks, which are one piece.
+_CUT = np.zeros((5, 5), np.bool_)
+for _x, _ys in ((_LETTER, (_DIGIT, _MARK, _QUOTE)), (_DIGIT, (_LETTER, _DIGIT, _MARK, _QUOTE)), (_MARK, (_LETTER, _DIGIT))):
+    _CUT[_x, list(_ys)] = True
+_CUT = _CUT.ravel()
+
+
+def pieces(column: pa.Array) -> pa.Array:
+    """The texts with A-Z lower-cased and spaces between letters, digits and marks: the same ids, fewer distinct words.
+
+    Lower-casing before composition differs from the tokenizer's order only for letters with combining marks;
+    arrays with any of those (lead bytes CC and CD) keep their case.
+    """
+    raw, off = flat.buffers(column)
+    if not len(raw):
+        return column
+    wide = raw.max() >= 0x80
+    if not (wide and ((raw == 0xCC) | (raw == 0xCD)).any()):
+        raw = np.where((raw >= 0x41) & (raw <= 0x5A), raw | 0x20, raw)
+    kind = _CLASS[raw]
+    if wide:
+        # Latin-1 letters, but for the signs of multiplication and division.
+        lead = np.flatnonzero(raw == 0xC3)
+        lead = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]
+        kind[lead] = kind[lead + 1] = _LETTER
+    cut = np.zeros(len(raw), np.bool_)
+    cut[1:] = _CUT[kind[:-1] * 5 + kind[1:]]
+    inner = off[1:-1]
+    cut[inner[inner < len(raw)]] = False
+    at = np.cumsum(cut, dtype=np.int64)
+    out = np.full(len(raw) + int(at[-1]), 0x20, np.uint8)
+    out[np.arange(len(raw)) + at] = raw
+    moved = np.concatenate([[0], at])[off] + off
+    if moved[-1] < 1 << 31:
+        return pa.StringArray.from_buffers(len(column), pa.py_buffer(moved.astype(np.int32)), pa.py_buffer(out))
+    return pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(moved), pa.py_buffer(out))
+
+
 class Encoder:
     """Ids of texts, with the memory of words that one worker keeps."""
 
@@ -55,50 +103,82 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word = Tokenizer.from_file(path), word_wise(path)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        # Whether an id ends a word: then words of letters can be encoded in one string and told apart again.
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), np.bool_)
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.ids, self.size, self.off, self.n = np.zeros(1 << 20, np.uint32), 0, np.zeros(MEMORY + 1, np.int64), 0
 
+    def _encoded(self, names: list[str], joined: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, and how many each has."""
+        if joined:
+            lines = [" ".join(names[i : i + 256]) for i in range(0, len(names), 256)]
+            ids = np.concatenate([np.array(got.ids, np.uint32) for got in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(names) and last[-1] == len(ids) - 1:
+                return ids, np.diff(np.concatenate([[-1], last]))
+        each = [got.ids for got in self.tokenizer.encode_batch_fast(names, add_special_tokens=False)]
+        return np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each], np.int64)
+
     def _learn(self, names: list[str]) -> None:
-        """Adds the ids of new words, which are encoded together."""
-        for word, got in zip(names, self.tokenizer.encode_batch_fast(names, add_special_tokens=False), strict=True):
-            if self.size + len(got.ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(got.ids)), np.uint32)])
-            self.ids[self.size : self.size + len(got.ids)] = got.ids
-            self.place[word] = self.n
-            self.n += 1
-            self.size += len(got.ids)
-            self.off[self.n] = self.size
+        """Adds new words: those of letters only, which are one piece each, together; then the others one by one."""
+        plain = [w for w in names if w.isalpha()] if self.ends is not None else []
+        rest = [w for w in names if not w.isalpha()] if self.ends is not None else names
+        for group, joined in ((plain, True), (rest, False)):
+            if not group:
+                continue
+            ids, many = self._encoded(group, joined)
+            while self.size + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+            self.ids[self.size : self.size + len(ids)] = ids
+            self.off[self.n + 1 : self.n + 1 + len(group)] = self.size + np.cumsum(many)
+            self.place.update(zip(group, range(self.n, self.n + len(group)), strict=True))
+            self.n += len(group)
+            self.size += len(ids)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by END, and offsets by text."""
         if not self.by_word:
             each = [np.array([*got.ids, END], np.uint32) for got in self.tokenizer.encode_batch_fast(column.to_pylist(), add_special_tokens=False)]
             return np.concatenate([np.zeros(0, np.uint32), *each]), np.concatenate([[0], np.cumsum([len(e) for e in each], dtype=np.int64)])
+        raw = flat.buffers(column)[0].tobytes()
+        if not any(t in raw for t in self.special):
+            column = pieces(column)
         word, at = flat.words(column)
         code, distinct = flat.codes(word)
         names = distinct.to_pylist()
-        new = [w for w in names if w not in self.place]
-        if self.n + len(new) > MEMORY:
-            self.forget()
-            new = names
-            if len(new) > MEMORY:
-                self.off = np.zeros(len(new) + 1, np.int64)
-        self._learn(new)
-        place = np.array([self.place[w] for w in names], np.int64)
+        found = list(map(self.place.get, names))
+        new = [w for w, p in zip(names, found, strict=True) if p is None]
+        if new:
+            if self.n + len(new) > MEMORY:
+                self.forget()
+                new = names
+                if len(new) > MEMORY:
+                    self.off = np.zeros(len(new) + 1, np.int64)
+            self._learn(new)
+            found = list(map(self.place.__getitem__, names))
+        place = np.array(found, np.int64)
         begin, size = self.off[place], self.off[place + 1] - self.off[place]
-        # The end id stands after the words of each text; it is put in as a word of its own.
+        # The end id stands after the words of each text: as a word of its own, whose id is put in afterwards.
         n = len(at) - 1
-        slot = np.arange(len(code)) + flat.owners(at)
-        start, many = np.full(len(code) + n, -1, np.int64), np.ones(len(code) + n, np.int64)
-        start[slot], many[slot] = begin[code], size[code]
+        stop = at[1:] + np.arange(n)
+        words = np.ones(len(code) + n, np.bool_)
+        words[stop] = False
+        start, many = np.zeros(len(words), np.int64), np.ones(len(words), np.int64)
+        start[words], many[words] = begin[code], size[code]
         total = np.concatenate([[0], np.cumsum(many)])
-        source = np.repeat(start - total[:-1], many) + np.arange(total[-1])
-        ends = total[:-1][at[1:] + np.arange(n)]
-        source[ends] = 0
-        ids = self.ids[source]
+        kind = np.int32 if max(total[-1], self.size) < 1 << 31 else np.int64
+        source = np.repeat((start - total[:-1]).astype(kind), many)
+        source += np.arange(total[-1], dtype=kind)
+        ids = self.ids.take(source)
+        ends = total[stop]
         ids[ends] = END
         return ids, np.concatenate([[0], ends + 1])
 
