@@ -1 +1 @@
-"""Part of siltgate."""
+"""Column functions: spans, checks, rewritings of texts."""
