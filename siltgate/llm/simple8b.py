@@ -16,16 +16,6 @@ ESCAPE = 15
 BLOCK = 1_024
 
 
-def _width(ids: np.ndarray) -> np.ndarray:
-    """Bits that each id needs, at least 1."""
-    small = ids < np.uint64(1 << 52)
-    out = np.maximum(np.frexp(np.where(small, ids, 1).astype(np.float64))[1], 1).astype(np.int8)
-    if not small.all():
-        high = ids[~small] >> np.uint64(52)
-        out[~small] = 52 + np.frexp(high.astype(np.float64))[1]
-    return out
-
-
 def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """(words, offsets): block i of the ids is ``words[offsets[i]:offsets[i + 1]]``."""
     ids = ids.astype(np.uint64)
@@ -34,17 +24,17 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
     blocks = -(-n // block)
     ends = np.minimum((np.arange(blocks) + 1) * block, n)
-    width = _width(ids)
     # For each id the best selector for a word that starts with it. Where the ids of one selector fit, those of
     # every selector with fewer and wider ids do, so each step looks only at what the step before left over.
     choice = np.full(n, ESCAPE, np.int8)
     left = np.repeat(ends, np.diff(np.concatenate([[0], ends]))) - np.arange(n)
-    open_, widest = np.arange(n), int(width.max())
+    open_, largest = np.arange(n), int(ids.max())
     for s in range(len(COUNTS) - 1, -1, -1):
         c = int(COUNTS[s])
         open_ = open_[left[open_] >= c]
-        if widest > BITS[s]:
-            wide = np.concatenate([[0], np.cumsum(width > BITS[s], dtype=np.int32)])
+        limit = (1 << int(BITS[s])) - 1
+        if largest > limit:
+            wide = np.concatenate([[0], np.cumsum(ids > np.uint64(limit), dtype=np.int32)])
             open_ = open_[wide[open_ + c] == wide[open_]]
         if not len(open_):
             break

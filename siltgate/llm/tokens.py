@@ -32,7 +32,7 @@ from siltgate.llm.common import fresh_path
 
 END = 1
 #: Distinct words that a worker remembers, at most; beyond that it starts anew.
-MEMORY = 400_000
+MEMORY = 1_000_000
 
 
 def word_wise(path: str) -> bool:
