@@ -71,6 +71,45 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "qu
     return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
+def top_k_of_all(queries: DataFrame, rows: DataFrame, k: int = 5, query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
+    """query_id, doc_id, score, rank: for a stated, bounded set of queries the k best of all rows, ties by doc_id.
+
+    Here the queries travel: each batch of rows gives its own k best for every query, and what the batches give
+    (k rows a query and batch) meets by query. Queries beyond CORPUS_ROWS are taken in blocks.
+    """
+    schema = T.StructType([queries.schema[query_id], rows.schema["doc_id"], T.StructField("score", T.DoubleType())])
+    out, block = None, []
+
+    def compared(some: list) -> DataFrame:
+        ids = [r[0] for r in some]
+        shared = rows.sparkSession.sparkContext.broadcast(np.stack([np.asarray(r[1], np.float64) for r in some]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked = shared.value / np.maximum(np.linalg.norm(shared.value, axis=1, keepdims=True), 1e-300)
+            for batch in batches:
+                order = np.argsort(batch.column("doc_id").to_numpy(zero_copy_only=False), kind="stable")
+                part = batch.take(pa.array(order))
+                sims = asked @ _matrix(part.column(vector)).T
+                most = min(k, part.num_rows)
+                best = np.argsort(-np.round(sims, 12), axis=1, kind="stable")[:, :most]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in np.repeat(np.arange(len(ids)), most)], type=_arrow(schema[0])), part.column("doc_id").take(pa.array(best.ravel())), pa.array(np.take_along_axis(sims, best, axis=1).ravel())], [f.name for f in schema])
+
+        return rows.where(F.col(vector).isNotNull()).select("doc_id", vector).mapInArrow(run, schema)
+
+    for row in queries.where(F.col(vector).isNotNull()).select(query_id, vector).orderBy(query_id).toLocalIterator():
+        block.append(row)
+        if len(block) == CORPUS_ROWS:
+            part, block = compared(block), []
+            out = part if out is None else out.unionByName(part)
+    if block:
+        part = compared(block)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return queries.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
+    by = Window.partitionBy(query_id).orderBy(F.round("score", 12).desc(), "doc_id")
+    return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
 def _arrow(field: T.StructField) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
