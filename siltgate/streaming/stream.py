@@ -11,7 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siltgate.config import ScanConfig
-from siltgate.plans.scan import alerts_table, safe_hits, scan
+from siltgate.plans.scan import alerts_table, once, safe_hits, scan
 
 #: Fragments of a session that are kept, at most, and how long they are kept without a new one.
 FRAGMENTS, IDLE = 32, "1 hour"
@@ -39,7 +39,9 @@ def session_windows(messages: DataFrame, fragments: int = FRAGMENTS, idle_ms: in
         yield rows.assign(session=key[0], session_window=windows)[[f.split()[0] for f in WINDOWED.split(", ")]]
 
     timed = messages.withWatermark("event_time", watermark)
-    return timed.groupBy("session").applyInPandasWithState(run, WINDOWED, "fragments array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+    made = timed.groupBy("session").applyInPandasWithState(run, WINDOWED, "fragments array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+    # The state operator's rows have no binary form, which an Arrow function right above it would need.
+    return once(made, "content", F.col("content"))
 
 
 def scan_stream(messages: DataFrame, cfg: ScanConfig | None = None) -> DataFrame:
