@@ -103,6 +103,36 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+#: Words are numbered within their document; a window is eight words joined, and a word counts if one of the
+#: windows that it is in is there twice.
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+l AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE again AND regexp_matches(line, '[^ \x09-\x0D]')) AS n_dup_lines
+  FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) > 1 AS again FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d))
+  GROUP BY doc_id),
+w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[^ \x09-\x0D]+') AS ws FROM d)),
+v AS (
+  SELECT *, lag(w) OVER o AS before, string_agg(w, ' ') OVER f AS win, count(*) OVER f AS n, count(*) OVER (PARTITION BY doc_id, w) AS same
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos), f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+t AS (SELECT *, n = 8 AND count(*) OVER (PARTITION BY doc_id, win, n) > 1 AS twice FROM v),
+c AS (SELECT *, bool_or(twice) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS covered FROM t),
+s AS (
+  SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars, count(*) FILTER (WHERE covered) AS n_repeat_words, max(same) AS n_top, count(*) FILTER (WHERE w = before) AS n_same
+  FROM c GROUP BY doc_id),
+a AS (
+  SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+    n_lines, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_top, 0) AS n_top, coalesce(n_same, 0) AS n_same,
+    len(regexp_extract_all(text, '[A-Z]')) AS n_upper, len(regexp_extract_all(text, '!')) AS n_bang
+  FROM d JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)),
+m AS (
+  SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END + CASE WHEN 100 * n_symbols > 20 * n_words THEN 4 ELSE 0 END
+    + CASE WHEN 100 * n_dup_lines > 40 * n_lines THEN 8 ELSE 0 END + CASE WHEN word_chars > 14 * n_words OR 2 * word_chars < 3 * n_words THEN 16 ELSE 0 END
+    + CASE WHEN 100 * n_top > 35 * n_words THEN 32 ELSE 0 END + CASE WHEN 100 * n_upper > 45 * word_chars OR 100 * n_bang > 50 * n_words THEN 64 ELSE 0 END
+    + CASE WHEN 100 * n_same > 30 * n_words THEN 128 ELSE 0 END)::BIGINT AS fail_mask FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_mask & 3 <> 0 AS base_failed, fail_mask = 0 AS kept, fail_mask FROM m
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_ledger": op2_quality_ledger,
@@ -115,4 +145,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {"op5_chat": OP5_SQL, "op7_line_dedup": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality_ledger": OP2_SQL, "op5_chat": OP5_SQL, "op7_line_dedup": OP7_SQL}
