@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     ``spark.checkpoint.dir`` names it. Only where neither that setting nor a checkpoint folder of
     the context is there (tests on one machine) a temporary folder is made.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -68,6 +68,18 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+#: Rows that go to a Python worker at a time, at most: texts are long, and two copies of a batch are held.
+BATCH_ROWS = 2_000
+
+
+def map_texts(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` in batches of at most BATCH_ROWS rows (a setting of the session; smaller ones are kept)."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def unique_name(df: DataFrame, base: str) -> str:
     """``base``, or ``base`` with underscores in front, so that it clashes with no column of ``df``."""
     taken = {c.lower() for c in df.columns}

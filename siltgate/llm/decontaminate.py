@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from siltgate.llm import flat
-from siltgate.llm.common import unique_name
+from siltgate.llm.common import map_texts, unique_name
 
 SIMILARITY = 0.8
 #: Longest word gram that places windows.
@@ -290,7 +290,7 @@ def _found(docs: DataFrame, items: Items, item_type: T.DataType, columns: list[s
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), values)
                 yield pa.RecordBatch.from_arrays([piece.column(c) for c in columns] + [lists], [*columns, name])
 
-    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, schema)
+    return map_texts(docs.select(*dict.fromkeys([*columns, "text"])), run, schema)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltgate.llm import flat
-from siltgate.llm.common import drop_stored, stored
+from siltgate.llm.common import drop_stored, map_texts, stored
 
 SEED = 42
 RADIUS = 2
 #: Fingerprints of one tree, at most.
 TREE = 8_192
 #: Fingerprints, counted once for each work item that they are in, that a Python worker has at a time, about.
-GROUP_ROWS = 60_000
+GROUP_ROWS = 40_000
 
 
 def shingle_hashes(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, words: int, columns: tuple[str, ...] = ("doc_i
                 fp = majority(*shingle_hashes(flat.texts(piece.column("text")), words))
                 yield pa.RecordBatch.from_arrays([piece.column(c) for c in columns] + [pa.array(fp.view(np.int64))], [*columns, "fp"])
 
-    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, schema)
+    return map_texts(docs.select(*dict.fromkeys([*columns, "text"])), run, schema)
 
 
 class BKForest:
@@ -361,7 +361,7 @@ def near_clusters(docs: DataFrame, words: int = WORDS, similarity: float = SIMIL
                 sketch = pa.array([row.tobytes() for row in least], pa.binary())
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(fp.view(np.int64)), sketch, bands], ["doc_id", "fp", "sketch", "bands"])
 
-    made = stored(docs.select("doc_id", "text").mapInArrow(run, schema), "simhash-sketches")
+    made = stored(map_texts(docs.select("doc_id", "text"), run, schema), "simhash-sketches")
     distinct = stored(made.groupBy("fp").agg(F.min_by(F.struct("sketch", "bands"), "doc_id").alias("s")).select("fp", "s.*"), "simhash-distinct-sketches")
     return _with_component(made.select("doc_id", "fp"), lambda _: near_links(distinct, similarity))
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from siltgate.llm import flat
+from siltgate.llm.common import map_texts
 
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
@@ -118,4 +119,4 @@ def with_stats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
                 arrays = [piece.column(c) for c in cols] + [pa.array(found[s], pa.int64()) for s in STATS]
                 yield pa.RecordBatch.from_arrays(arrays, [*cols, *STATS])
 
-    return docs.select(id_column, text_column).mapInArrow(run, schema)
+    return map_texts(docs.select(id_column, text_column), run, schema)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltgate.llm import flat, simple8b
-from siltgate.llm.common import fresh_path
+from siltgate.llm.common import fresh_path, map_texts
 
 END = 1
 #: Distinct words that a worker remembers, at most; beyond that it starts anew.
@@ -219,7 +219,7 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
                 row += 1
 
     ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, schema).write.option("compression", "none").parquet(path)
+    map_texts(ordered, run, schema).write.option("compression", "none").parquet(path)
 
 
 def read(spark, path: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltgate.llm import flat
-from siltgate.llm.common import stored
+from siltgate.llm.common import map_texts, stored
 
 #: Labelled rows of each class that the driver fits on, at most.
 FIT_ROWS = 3_000
@@ -144,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = TARGET, seeds: dict[
                 lists = pa.ListArray.from_arrays(pa.array(off), word.cast(pa.string()))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("label"), lists], ["doc_id", "label", "words"])
 
-    sample = stored(texts.select("doc_id", "label", "text").mapInArrow(run, schema), "toxicity-sample")
+    sample = stored(map_texts(texts.select("doc_id", "label", "text"), run, schema), "toxicity-sample")
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Chain((), tuple(Link(c, -35.0, np.zeros(0), np.zeros(j)) for j, c in enumerate([*seeds, target])))
@@ -181,7 +181,7 @@ def _added(docs: DataFrame, model: Chain, columns: list[str], keep: bool) -> Dat
                 out = pa.RecordBatch.from_arrays([piece.column(c) for c in columns] + [pa.array(p[:, j]) for j in range(p.shape[1])], [*columns, *names])
                 yield out.filter(pa.array(p[:, -1] < THRESHOLD)) if keep else out
 
-    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, schema)
+    return map_texts(docs.select(*dict.fromkeys([*columns, "text"])), run, schema)
 
 
 THRESHOLD = 0.5
