@@ -81,48 +81,73 @@ def distinct_words(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return pair // len(names), names.take(pa.array(pair % len(names)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 3e-4, steps: int = 300) -> tuple[float, np.ndarray]:
-    """Ridge logistic regression by accelerated gradient descent; the two classes weigh the same."""
-    n, m = x.shape
-    one = np.hstack([np.ones((n, 1), np.float32), x])
+@dataclass(frozen=True)
+class Presence:
+    """Which of ``n_words`` words ``n`` texts have, as pairs (doc, word)."""
+
+    n: int
+    n_words: int
+    doc: np.ndarray
+    word: np.ndarray
+
+    def rows(self, keep: np.ndarray) -> Presence:
+        """The texts in ``keep`` (a mask), numbered anew."""
+        number = np.cumsum(keep) - 1
+        some = keep[self.doc]
+        return Presence(int(keep.sum()), self.n_words, number[self.doc[some]], self.word[some])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.doc, w[self.word], minlength=self.n)
+
+    def gathered(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.word, g[self.doc], minlength=self.n_words)
+
+
+def _logistic(x: Presence, more: np.ndarray, y: np.ndarray, ridge: float = 3e-4, steps: int = 300) -> tuple[float, np.ndarray, np.ndarray]:
+    """Ridge logistic regression on words and further columns by accelerated gradient descent; both classes weigh the same.
+
+    Gives the intercept, the words' weights and the further columns' weights.
+    """
+    cut = 1 + x.n_words
     pos = y.mean()
-    weight = np.where(y == 1, 0.5 / max(pos, 1e-9), 0.5 / max(1 - pos, 1e-9)).astype(np.float32) / n
-    v = np.ones(m + 1, np.float32)
+    weight = np.where(y == 1, 0.5 / max(pos, 1e-9), 0.5 / max(1 - pos, 1e-9)) / x.n
+    forward = lambda w: w[0] + x.times(w[1:cut]) + more @ w[cut:]
+    back = lambda g: np.concatenate([[g.sum()], x.gathered(g), g @ more])
+    v = np.ones(cut + more.shape[1])
     for _ in range(20):
-        v = one.T @ (weight * (one @ v))
+        v = back(weight * forward(v))
         v /= np.linalg.norm(v)
-    step = 1 / (np.linalg.norm(one.T @ (weight * (one @ v))) / 4 * 1.05 + ridge)
-    w, z, t = np.zeros(m + 1, np.float32), np.zeros(m + 1, np.float32), 1.0
+    step = 1 / (np.linalg.norm(back(weight * forward(v))) / 4 * 1.05 + ridge)
+    w, z, t = np.zeros(len(v)), np.zeros(len(v)), 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(one @ z, -35, 35)))
-        grad = one.T @ (weight * (p - y)) + ridge * z
+        p = 1 / (1 + np.exp(-np.clip(forward(z), -35, 35)))
+        grad = back(weight * (p - y)) + ridge * z
         grad[0] -= ridge * z[0]
         new = z - step * grad
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z = new + (t - 1) / t2 * (new - w)
         w, t = new, t2
-    return float(w[0]), w[1:].astype(float)
+    return float(w[0]), w[1:cut], w[cut:]
 
 
-def fit_chain(vocabulary: list[str], x: np.ndarray, y: dict[str, np.ndarray], folds: np.ndarray) -> Chain:
-    """The chain over the categories of ``y`` in order, from word presence ``x`` (rows by vocabulary)."""
-    links, before = [], np.zeros((len(x), 0), np.float32)
+def fit_chain(vocabulary: list[str], x: Presence, y: dict[str, np.ndarray], folds: np.ndarray) -> Chain:
+    """The chain over the categories of ``y`` in order, from word presence ``x``."""
+    links, before = [], np.zeros((x.n, 0))
     for category, label in y.items():
         if label.min() == label.max():
             links.append(Link(category, 35.0 if label.min() else -35.0, np.zeros(len(vocabulary)), np.zeros(len(links))))
-            before = np.hstack([before, np.full((len(x), 1), label.min(), np.float32)])
+            before = np.hstack([before, np.full((x.n, 1), float(label.min()))])
             continue
-        full = np.hstack([x, before])
-        out = np.zeros(len(x), np.float32)
+        out = np.zeros(x.n)
         for f in np.unique(folds):
             rest = folds != f
             if label[rest].min() == label[rest].max():
                 out[~rest] = label[rest].mean()
                 continue
-            b, w = _logistic(full[rest], label[rest])
-            out[~rest] = 1 / (1 + np.exp(-np.clip(b + full[~rest] @ w, -35, 35)))
-        b, w = _logistic(full, label)
-        links.append(Link(category, b, w[: len(vocabulary)], w[len(vocabulary) :]))
+            b, w, e = _logistic(x.rows(rest), before[rest], label[rest])
+            out[~rest] = 1 / (1 + np.exp(-np.clip(b + x.rows(~rest).times(w) + before[~rest] @ e, -35, 35)))
+        b, w, e = _logistic(x, before, label)
+        links.append(Link(category, b, w, e))
         before = np.hstack([before, out[:, None]])
     return Chain(tuple(vocabulary), tuple(links))
 
@@ -156,11 +181,11 @@ def train(docs: DataFrame, labels: DataFrame, target: str = TARGET, seeds: dict[
     vocabulary = sorted({r["word"] for r in top.collect()} | {w for s in seeds.values() for w in s})
     got = sample.select("doc_id", "label", (F.crc32(F.col("doc_id").cast("string")) % FOLDS).alias("fold"), F.array_intersect("words", F.lit(vocabulary)).alias("words")).orderBy("doc_id").collect()
     at = {w: j for j, w in enumerate(vocabulary)}
-    x = np.zeros((len(got), len(vocabulary)), np.float32)
-    for i, r in enumerate(got):
-        x[i, [at[w] for w in r["words"]]] = 1
-    label = np.array([r["label"] for r in got], np.float32)
-    y = {c: (label * (x[:, [at[w] for w in s]].max(axis=1) > 0)).astype(np.float32) for c, s in seeds.items()}
+    pairs = np.array([(i, at[w]) for i, r in enumerate(got) for w in r["words"]], np.int64).reshape(-1, 2)
+    x = Presence(len(got), len(vocabulary), pairs[:, 0], pairs[:, 1])
+    label = np.array([r["label"] for r in got], float)
+    seeded = {c: np.isin(np.arange(len(vocabulary)), [at[w] for w in s]).astype(float) for c, s in seeds.items()}
+    y = {c: label * (x.times(some) > 0) for c, some in seeded.items()}
     return fit_chain(vocabulary, x, y | {target: label}, np.array([r["fold"] for r in got]))
 
 

@@ -162,8 +162,8 @@ def test_chain_feeds_earlier_probabilities_on():
     x = (rng.random((400, 3)) < 0.4).astype(np.float32)
     first = x[:, 0]
     second = ((x[:, 0] > 0) & (x[:, 1] > 0)).astype(np.float32)
-    chain = toxicity.fit_chain(["a", "b", "c"], x, {"first": first, "second": second}, np.arange(400) % 4)
     doc, word = np.nonzero(x)
+    chain = toxicity.fit_chain(["a", "b", "c"], toxicity.Presence(400, 3, doc, word), {"first": first, "second": second}, np.arange(400) % 4)
     p = chain.probabilities(400, doc, word)
     assert chain.categories == ["first", "second"] and len(chain.links[1].earlier) == 1 and chain.links[1].earlier[0] > 0
     assert ((p[:, 0] > 0.5) == first).all() and ((p[:, 1] > 0.5) == second).mean() > 0.95
