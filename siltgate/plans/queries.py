@@ -42,13 +42,18 @@ def rule_hits(df: DataFrame, key: str, rules: tuple, text: str = "text") -> Data
 # ---- The whole scan ----
 
 
-def spread(scan_: DataFrame) -> DataFrame:
-    """A file scan in at least as many partitions as there are cores; scanning texts costs far more than dealing them.
+#: Bytes of a file table for each core from which on its row groups surely keep all cores busy.
+SPREAD_BYTES = 64 << 20
 
-    A table of more files than cores (any large one) is read as it lies, without a shuffle.
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A file scan dealt over all cores if the table is small: scanning texts costs far more than dealing them.
+
+    Small files have too few row groups to be read in as many tasks. A large table is read as it lies, without a shuffle.
     """
-    cores = scan_.sparkSession.sparkContext.defaultParallelism
-    return scan_ if scan_.rdd.getNumPartitions() >= cores else scan_.repartition(cores)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * SPREAD_BYTES else rows
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
