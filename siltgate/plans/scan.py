@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,20 @@ NOTES = {
 }
 
 
+_BUILT: dict[tuple, Column] = {}
+
+
+def built(make: Callable[[], Column], *key) -> Column:
+    """The expression that ``make`` gives, made once for each application and key.
+
+    Rules compile to thousands of nodes over columns of fixed names; every scan of a session can use the same ones.
+    """
+    full = (SparkContext._active_spark_context.applicationId, *key)
+    if full not in _BUILT:
+        _BUILT[full] = make()
+    return _BUILT[full]
+
+
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with a column that the optimiser leaves as it is.
 
@@ -40,7 +57,7 @@ def _with_units(df: DataFrame) -> DataFrame:
     is_call = F.col("content_kind") == "mcp_call"
     called = df.withColumn("call", call_of(F.when(is_call, F.col("content"))))
     outward = F.col("injection_point").isin("mcp", "egress") & F.coalesce("call.is_object", F.lit(False))
-    called = called.withColumn("channel", F.when(outward, egress.channel_hits(F.col("call"))).otherwise(empty(HITS)))
+    called = called.withColumn("channel", built(lambda: F.when(outward, egress.channel_hits(F.col("call"))).otherwise(empty(HITS)), "channel"))
     units = F.when(is_call, F.col("call.units")).otherwise(text_units(F.col("content"))).cast(f"array<{UNIT}>")
     windowed = ~is_call & (F.size(F.coalesce("session_window", empty("array<string>"))) > 0)
     joined = F.concat(F.array_join("session_window", ""), F.coalesce("content", F.lit("")))
@@ -57,8 +74,7 @@ def with_variants(df: DataFrame) -> DataFrame:
     def of(unit: Column, form: Column) -> Column:
         return rewritings.variants(unit["text"], form, unit["field_path"], window)
 
-    forms = F.slice("forms", 1, F.size("units"))
-    made = F.flatten(F.zip_with("units", forms, of))
+    made = built(lambda: F.flatten(F.zip_with("units", F.slice("forms", 1, F.size("units")), of)), "variants")
     return once(ready, "variants", F.coalesce(made, empty(f"array<{VARIANT}>")))
 
 
@@ -112,9 +128,9 @@ def scan(df: DataFrame, cfg: ScanConfig | None = None) -> DataFrame:
         df = df.withColumn("session_window", F.lit(None).cast("array<string>"))
     own = df.columns
     rows = with_variants(df)
-    rows = rows.withColumn("found", _local(F.col("variants")))
+    rows = rows.withColumn("found", built(lambda: _local(F.col("variants")), "local"))
     if cfg.l3 != "off":
-        rows = rows.withColumn("l3_texts", l3_texts(cfg)).withColumn("found", F.concat("found", _personal(cfg)))
+        rows = rows.withColumn("l3_texts", l3_texts(cfg)).withColumn("found", F.concat("found", built(lambda: _personal(cfg), "personal", cfg)))
     if cfg.similarity:
         rows = rows.withColumn("found", F.concat("found", similarity_hits(F.coalesce("similar", F.array().cast("array<struct<doc_id:string,chunk_id:string,score:double>>")), cfg.similarity_threshold, cfg.similarity_action, _first_seen(rows))))
     rows = rows.withColumn("found", F.concat("found", "channel"))
@@ -123,8 +139,8 @@ def scan(df: DataFrame, cfg: ScanConfig | None = None) -> DataFrame:
     rows = rows.withColumn("alerts", semantic.alerts(F.coalesce("content", F.lit("")), reply) if cfg.semantic else none)
     # Redaction goes by the verdict without promoted alerts; a promoted block then takes the redacted text away.
     rows = once(rows, "found", F.col("found"))
-    rows = once(rows, "first", verdicts.dedup(F.col("found")))
-    pairs = F.when(verdicts.verdict(F.col("first")) == "redact", verdicts.redaction_pairs(F.col("first"), cfg.mask))
+    rows = once(rows, "first", built(lambda: verdicts.dedup(F.col("found")), "dedup"))
+    pairs = built(lambda: F.when(verdicts.verdict(F.col("first")) == "redact", verdicts.redaction_pairs(F.col("first"), cfg.mask)), "pairs", cfg.mask)
     rows = once(rows, "pairs", pairs)
     is_call = F.col("content_kind") == "mcp_call"
     in_text = verdicts.redact_text(F.coalesce("content", F.lit("")), F.col("pairs"))
