@@ -258,12 +258,13 @@ WORDS, SIMILARITY = 5, 0.8
 #: Shards of the stage: BANDS keys of ROWS minima each. Texts of similarity 0.8 miss each other in all of
 #: them once in 460 (0.36 to the power 6).
 BANDS, ROWS = 6, 2
-#: Smallest shingle hashes that a text keeps for the check of its links; with fewer shingles the check is exact.
-SKETCH = 96
-#: The check's estimate has a standard error of 0.04; so much is forgiven, so that few true links are lost.
-FORGIVEN = 0.03
-#: Bits that fingerprints of texts of that similarity differ in at most (99 in 100 do).
-NEAR_RADIUS = 18
+#: Smallest shingle hashes that a text keeps, and the similarity that they must show for whole sets to be compared:
+#: at 0.8 the estimate's standard error is 0.04, so that about one true pair in 10,000 is below.
+SKETCH, LOOSE = 96, 0.65
+#: Bytes of shingle hashes of one piece of a group whose whole sets are compared, at most, about.
+PIECE_BYTES = 16 << 20
+#: Shingle hashes that are compared at a time.
+COMPARED = 1 << 20
 _NONE = np.uint64(2**64 - 1)
 
 
@@ -273,6 +274,24 @@ def _mixed(h: np.ndarray, i: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def shingle_sets(hashes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each text in rising order, and offsets by text."""
+    own = flat.owners(off)
+    by = np.lexsort((hashes, own))
+    h, o = hashes[by], own[by]
+    first = np.ones(len(h), np.bool_)
+    first[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
+    return h[first], np.concatenate([[0], np.cumsum(np.bincount(o[first], minlength=len(off) - 1))]).astype(np.int64)
+
+
+def set_ids(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A number for each set of hashes: equal for equal sets, zero for the empty one."""
+    out, some = np.zeros(len(off) - 1, np.uint64), np.flatnonzero(np.diff(off))
+    if len(some):
+        out[some] = _mixed(np.add.reduceat(_mixed(h, BANDS * ROWS), off[:-1][some]), BANDS * ROWS + 1)
+    return out
+
+
 def sketches(hashes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per text: the SKETCH smallest distinct hashes (padded with all ones), and BANDS shard keys."""
     n = len(off) - 1
@@ -280,19 +299,15 @@ def sketches(hashes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     some = np.flatnonzero(np.diff(off))
     if not len(some):
         return least, keys
-    own = flat.owners(off)
-    by = np.lexsort((hashes, own))
-    h, o = hashes[by], own[by]
-    first = np.ones(len(h), np.bool_)
-    first[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
-    h, o = h[first], o[first]
-    rank = np.arange(len(o)) - np.searchsorted(o, np.arange(n))[o]
+    h, at = shingle_sets(hashes, off)
+    o = flat.owners(at)
+    rank = np.arange(len(o)) - at[o]
     low = rank < SKETCH
     least[o[low], rank[low]] = h[low]
     for b in range(BANDS):
         key = np.full(len(some), b, np.uint64)
         for r in range(ROWS):
-            key = _mixed(key ^ np.minimum.reduceat(_mixed(hashes, b * ROWS + r), off[:-1][some]), b)
+            key = _mixed(key ^ np.minimum.reduceat(_mixed(h, b * ROWS + r), at[:-1][some]), b)
         keys[some, b] = key
     return least, keys
 
@@ -309,61 +324,165 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     return shared >= least * union - 1e-9
 
 
-def near_links(distinct: DataFrame, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS, tree: int = TREE) -> DataFrame:
-    """Stars (u, v) over fingerprints (fp, sketch, bands): linked if within the radius and similar by their sketches."""
-    cells = distinct.select("fp", F.explode("bands").alias("shard"))
-    sizes = stored(cells.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").withColumn("pieces", F.ceil(F.col("n") / tree).cast("int")), "simhash-shards")
-    total = sizes.agg(F.sum(F.col("n") * F.col("pieces"))).first()[0] or 0
-    # Sketches travel once by fingerprint, and then only those of fingerprints that share a shard with another.
-    shared = cells.join(sizes, "shard").groupBy("fp").agg(F.collect_list(F.struct("shard", "pieces")).alias("shards"))
-    held = shared.join(distinct.select("fp", "sketch"), "fp").select("fp", "sketch", F.explode("shards").alias("s")).select("fp", "sketch", "s.*")
-    piece = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("pieces")).cast("int")
+class Sets:
+    """Sets of shingle hashes (sorted, by offsets), for exact comparisons."""
+
+    def __init__(self, h: np.ndarray, off: np.ndarray):
+        self.names, self.code = np.unique(h, return_inverse=True)
+        self.off, self.size = off, np.diff(off)
+
+    def similar(self, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+        """Whether pairs of sets have a Jaccard similarity of at least ``least``."""
+        out = np.zeros(len(a), np.bool_)
+        both = self.size[a] + self.size[b]
+        piece = np.cumsum(both) // COMPARED
+        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(a)]
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            one = np.concatenate([a[x:y], b[x:y]])
+            n = self.size[one]
+            at = np.repeat(self.off[one] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            pair = np.repeat(np.tile(np.arange(y - x), 2), n)
+            key = np.sort(pair * len(self.names) + self.code[at])
+            shared = np.bincount(key[1:][key[1:] == key[:-1]] // max(len(self.names), 1), minlength=y - x)
+            out[x:y] = shared >= least * (both[x:y] - shared) - 1e-9
+        return out
+
+
+def _marks(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per sketch 256 bits that its hashes set (by their lowest byte), and how many hashes it has."""
+    bits = np.zeros((len(sketch), 256), np.bool_)
+    row, col = np.nonzero(sketch != _NONE)
+    bits[row, (sketch[row, col] & np.uint64(255)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1).view(np.uint64), np.bincount(row, minlength=len(sketch))
+
+
+def _met(place: np.ndarray, size: np.ndarray, sketch: np.ndarray, shard: np.ndarray, in_tree: np.ndarray, in_query: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places that meet in a shard, without those that are too unlike in size or cannot pass :func:`similar`.
+
+    Both gates are bounds, which no pair that passes the check fails. ``size`` and ``sketch`` are by place, the rest by row.
+    """
+    marks, count = _marks(sketch)
+    by = np.lexsort((size[place], shard))
+    place, s, t, q = place[by], shard[by], in_tree[by], in_query[by]
+    left = np.arange(len(by))
+    for d in range(1, len(by)):
+        left = left[left + d < len(by)]
+        # Sizes rise within a shard: a row whose next one is too large is done.
+        left = left[(s[left] == s[left + d]) & (size[place[left]] >= similarity * size[place[left + d]] - 1e-9)]
+        if not len(left):
+            return
+        cross = (t[left] & q[left + d]) | (q[left] & t[left + d])
+        a, b = place[left[cross]], place[left[cross] + d]
+        unlike = np.bitwise_count(marks[a] ^ marks[b]).sum(axis=1, dtype=np.int64)
+        could = unlike <= count[a] + count[b] - 2 * LOOSE * np.maximum(count[a], count[b]) + 1e-9
+        yield a[could], b[could]
+
+
+def _dealt(held: DataFrame, total: int, a_group: int) -> tuple[DataFrame, Column]:
+    """``held`` (node, shard, pieces, ...) by work item: item (i, j), i <= j, has the pieces i and j of a shard; and the items' group."""
+    piece = F.pmod(F.xxhash64("node", F.lit(1)), F.col("pieces")).cast("int")
     own = held.withColumn("piece", piece).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select(
-        "fp", "sketch", "shard", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"),
+        *[c for c in held.columns if c != "pieces"], F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"),
         (F.col("piece") <= F.col("other")).alias("in_tree"), (F.col("piece") >= F.col("other")).alias("in_query"),
     )
-    groups = max(1, -(-total // GROUP_ROWS))
+    return own, F.pmod(F.xxhash64("shard", "i", "j"), F.lit(max(1, -(-total // a_group)))).alias("g")
+
+
+def _item(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray], np.ndarray]:
+    """Distinct nodes, a row of each, each row's place among the nodes, the columns, and each row's shard in its work item."""
+    col = {c: rows.column(c).to_numpy() for c in ("node", "shard", "i", "j", "in_tree", "in_query")}
+    side = int(col["j"].max()) + 1
+    shard = (np.unique(col["shard"], return_inverse=True)[1] * side + col["i"]) * side + col["j"]
+    both, at, place = np.unique(col["node"], return_index=True, return_inverse=True)
+    return both, at, place, col, shard
+
+
+def _stars(both: np.ndarray, root: np.ndarray) -> pa.Table:
+    some = np.flatnonzero(root != np.arange(len(both)))
+    return pa.table({"u": both[some], "v": both[root[some]]})
+
+
+def loose_links(distinct: DataFrame, similarity: float = SIMILARITY, tree: int = TREE) -> DataFrame:
+    """Stars (u, v) over nodes (node, n, sketch, bands): linked if a shard has both and their sketches show LOOSE."""
+    cells = distinct.select("node", F.explode("bands").alias("shard"))
+    sizes = stored(cells.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").withColumn("pieces", F.ceil(F.col("n") / tree).cast("int")), "simhash-shards")
+    total = sizes.agg(F.sum(F.col("n") * F.col("pieces"))).first()[0] or 0
+    # Sketches travel once by node, and then only those of nodes that share a shard with another.
+    shared = cells.join(sizes.select("shard", "pieces"), "shard").groupBy("node").agg(F.collect_list(F.struct("shard", "pieces")).alias("shards"))
+    held = shared.join(distinct.select("node", "n", "sketch"), "node").select("node", "n", "sketch", F.explode("shards").alias("s")).select("node", "n", "sketch", "s.*")
+    own, group = _dealt(held, total, GROUP_ROWS)
 
     def run(_: tuple, rows: pa.Table) -> pa.Table:
-        col = {c: rows.column(c).to_numpy() for c in ("fp", "shard", "i", "j", "in_tree", "in_query")}
-        side = int(col["j"].max()) + 1
-        shard = (np.unique(col["shard"], return_inverse=True)[1] * side + col["i"]) * side + col["j"]
-        fp = col["fp"].view(np.uint64)
-        both, at = np.unique(fp, return_index=True)
+        both, at, place, col, shard = _item(rows)
         sketch = np.frombuffer(b"".join(rows.column("sketch").take(pa.array(at)).to_pylist()), np.uint64).reshape(len(both), SKETCH)
-        forest = BKForest(fp[col["in_tree"]], shard[col["in_tree"]])
-        place = np.searchsorted(both, fp[col["in_query"]])
-        found = forest.within(fp[col["in_query"]], shard[col["in_query"]], radius)
-        root = _roots(len(both), ((place[a], np.searchsorted(both, v)) for a, v in found), lambda a, b: similar(sketch[a], sketch[b], similarity - FORGIVEN))
-        some = np.flatnonzero(root != np.arange(len(both)))
-        return pa.table({"u": both[some].view(np.int64), "v": both[root[some]].view(np.int64)})
+        size = rows.column("n").to_numpy()[at]
+        pairs = _met(place, size, sketch, shard, col["in_tree"], col["in_query"], similarity)
+        return _stars(both, _roots(len(both), pairs, lambda a, b: similar(sketch[a], sketch[b], LOOSE)))
 
-    return own.groupBy(F.pmod(F.xxhash64("shard", "i", "j"), F.lit(groups)).alias("g")).applyInArrow(run, "u long, v long")
+    return own.groupBy(group).applyInArrow(run, "u long, v long")
+
+
+def exact_links(docs: DataFrame, distinct: DataFrame, groups: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, tree: int = TREE) -> DataFrame:
+    """Stars (u, v) over the nodes of loose ``groups`` (node, root): connected as all pairs in a group are whose whole
+    shingle sets have the similarity. The sets are made again from the texts, once for a node."""
+    mine = distinct.join(groups, "node").select("node", F.col("root").alias("shard"), "n", "a", "b")
+    cost = F.greatest(F.count("*") / tree, F.sum("n") * 8 / PIECE_BYTES)
+    sizes = stored(mine.groupBy("shard").agg(F.sum("n").alias("hashes"), F.ceil(cost).cast("int").alias("pieces")), "simhash-groups")
+    total = sizes.agg(F.sum(F.col("hashes") * 8 * F.col("pieces"))).first()[0] or 0
+    chosen = mine.join(sizes.select("shard", "pieces"), "shard").select("node", "shard", "pieces", "a", "b")
+    held = _keyed(docs).join(chosen, ["a", "b"]).select("node", "shard", "pieces", "text").dropDuplicates(["node"])
+    own, group = _dealt(held, total, 2 * PIECE_BYTES)
+
+    def run(_: tuple, rows: pa.Table) -> pa.Table:
+        both, at, place, col, shard = _item(rows)
+        text = rows.column("text").take(pa.array(at)).combine_chunks()
+        hashes, off = shingle_hashes(flat.texts(text), words)
+        sketch, sets = sketches(hashes, off)[0], Sets(*shingle_sets(hashes, off))
+        pairs = _met(place, sets.size, sketch, shard, col["in_tree"], col["in_query"], similarity)
+
+        def holds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            true = similar(sketch[a], sketch[b], LOOSE)
+            true[true] = sets.similar(a[true], b[true], similarity)
+            return true
+
+        return _stars(both, _roots(len(both), pairs, holds))
+
+    return own.groupBy(group).applyInArrow(run, "u long, v long")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the text's hash of 128 bits as ``a`` and ``b``."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
 
 
 def near_clusters(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, fp, component_id for every row: components of links between texts of at least that similarity.
 
-    Fingerprints are searched with BK-trees as in :func:`clusters`, at a radius where blocks of bits would no
-    longer make shards; shards are keyed by minima of the shingle hashes instead, and a link within the radius
-    is checked on the texts' smallest shingle hashes. Equal fingerprints are one node.
+    Texts with equal shingle sets are one node, and ``fp`` is the set's number. Blocks of a fingerprint's bits make no
+    shards at this similarity; minima of the shingle hashes do. All pairs of a shard are compared on their texts'
+    smallest shingle hashes, loosely; whole shingle sets then decide every pair of the groups that this makes.
     """
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    fields = [T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    keep = ["doc_id", "a", "b"]
+    keyed = _keyed(docs)
+    schema = T.StructType([*(keyed.schema[c] for c in keep), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in flat.slices(batch):
                 hashes, off = shingle_hashes(flat.texts(piece.column("text")), words)
-                fp, (least, keys) = majority(hashes, off), sketches(hashes, off)
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64).ravel()))
-                empty = pa.array(np.diff(off) == 0)
-                bands = pc.if_else(empty, pa.scalar([], bands.type), bands)
-                sketch = pa.array([row.tobytes() for row in least], pa.binary())
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(fp.view(np.int64)), sketch, bands], ["doc_id", "fp", "sketch", "bands"])
-
-    made = stored(map_texts(docs.select("doc_id", "text"), run, schema), "simhash-sketches")
-    distinct = stored(made.groupBy("fp").agg(F.min_by(F.struct("sketch", "bands"), "doc_id").alias("s")).select("fp", "s.*"), "simhash-distinct-sketches")
-    return _with_component(made.select("doc_id", "fp"), lambda _: near_links(distinct, similarity))
+                least, keys = sketches(hashes, off)
+                h, at = shingle_sets(hashes, off)
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(at)) * BANDS, pa.int32()), pa.array(keys.view(np.int64).ravel()))
+                bands = pc.if_else(pa.array(np.diff(at) == 0), pa.scalar([], bands.type), bands)
+                made = [pa.array(set_ids(h, at).view(np.int64)), pa.array(np.diff(at)), pa.array([row.tobytes() for row in least], pa.binary()), bands]
+                yield pa.RecordBatch.from_arrays([piece.column(c) for c in keep] + made, schema.names)
+
+    made = stored(map_texts(keyed, run, schema), "simhash-sketches")
+    one = F.min_by(F.struct("n", "sketch", "bands", "a", "b"), F.struct("a", "b")).alias("s")
+    distinct = stored(made.groupBy(F.col("fp").alias("node")).agg(one).select("node", "s.*"), "simhash-distinct-sketches")
+    groups = components(loose_links(distinct, similarity))
+    return _with_component(made.select("doc_id", "fp"), lambda _: exact_links(docs, distinct, groups, words, similarity))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
