@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -449,3 +450,16 @@ def test_near_duplicates_are_decided_on_whole_shingle_sets(spark):
     assert sum(want) > 20 and not any(x and not w for x, w in zip(linked, want, strict=True))
     # The shards' keys miss one pair in 460.
     assert sum(w and not x for x, w in zip(linked, want, strict=True)) <= 1
+
+
+def test_different_texts_with_one_fingerprint_stay(spark):
+    """Texts of 60 own words each and a line that all repeat 30 times are no near copies; equal shingle sets are."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=7))
+    line = " ".join(word() for _ in range(11))
+    texts = [" ".join([*(word() for _ in range(60)), *[line] * 30]) for _ in range(8)]
+    fps = simhash.majority(*simhash.shingle_hashes(pa.array(texts), simhash.WORDS))
+    assert len(set(fps.tolist())) < len(texts)
+    rows = [*enumerate(texts), (8, texts[3] + " " + line)]
+    got = {r.doc_id: r.component_id for r in simhash.near_clusters(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: 3 if d == 8 else d for d, _ in rows}
