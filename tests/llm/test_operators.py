@@ -463,3 +463,16 @@ def test_different_texts_with_one_fingerprint_stay(spark):
     rows = [*enumerate(texts), (8, texts[3] + " " + line)]
     got = {r.doc_id: r.component_id for r in simhash.near_clusters(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: 3 if d == 8 else d for d, _ in rows}
+
+
+def test_near_copies_with_repeated_lines(spark):
+    """Copies in which one line is repeated 20 times more are near copies, however far their fingerprints are apart."""
+    rng, rows = random.Random(5), []
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=7))
+    for k in range(20):
+        w = [word() for _ in range(300)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:112] + w[100:112] * 20 + w[112:]))]
+    fps = simhash.majority(*simhash.shingle_hashes(pa.array([t for _, t in rows]), simhash.WORDS)).tolist()
+    assert sum((a ^ b).bit_count() > 18 for a, b in zip(fps[::2], fps[1::2], strict=True)) > 10
+    got = {r.doc_id: r.component_id for r in simhash.near_clusters(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
