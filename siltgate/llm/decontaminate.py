@@ -10,8 +10,10 @@ words is within ``1 - SIMILARITY`` of the item's length in word edits (insert, d
    whether the walk goes on or reads the word again. Words that edits shift fall back into step, so that edit
    distance becomes Hamming distance between the walks' outputs.
 3. Bit sampling. A repetition samples a few output places; equal samples make a window a candidate for an item.
-   The number of repetitions follows from the collision rate that random edits at the threshold show on the items
-   themselves, so that RECALL of such windows collide at least once; an exact copy always does.
+   Their number follows, by item length, from the collisions that random edits at the threshold show on the items
+   themselves, so that RECALL of such windows collide at least once; an exact copy always does. Lengths that would
+   need more than REPEATS repetitions are not sampled: k edits leave at least n - g + 1 - k g of an item's grams
+   of g words whole, at places that shift by at most k, and every run with so many is a candidate: nothing is lost.
 4. Candidates are verified by the exact edit distance of the item to any run around the window.
 
 Items are read in blocks of ``ITEM_BLOCK`` (a stated query set against all rows); a block's words and grams are
@@ -44,8 +46,11 @@ SIMILARITY = 0.8
 GRAM = 4
 #: Items with fewer words are matched without edits: at 0.8 an edit more would join common phrases.
 MIN_WORDS = 8
-#: Output places that a repetition samples, the recall that repetitions must reach, and their bound.
+#: Output places that a repetition samples, the recall that repetitions must reach, and how many there are at most
+#: before an item's windows are found by counting grams.
 SAMPLED, RECALL, REPEATS = 3, 0.99, 64
+#: Edited copies that the repetitions are sized on, and item lengths that are sized together (as the longest of them).
+TRIED, LENGTHS = 200, 8
 #: Items that a pass over the documents compares with.
 ITEM_BLOCK = 20_000
 #: Window cells (windows by words) that are embedded or verified at a time.
@@ -130,7 +135,7 @@ class Items:
     ids: list
     words: pa.Array
     codes: list[np.ndarray]
-    repeats: int
+    repeats: dict[int, int]
     similarity: float
 
     @classmethod
@@ -139,19 +144,36 @@ class Items:
         code, names = flat.codes(word)
         rows = [code[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
         kept = [(i, r) for i, r in zip(ids, rows, strict=True) if len(r)]
-        made = cls([i for i, _ in kept], names.cast(pa.string()), [r for _, r in kept], 1, similarity)
+        made = cls([i for i, _ in kept], names.cast(pa.string()), [r for _, r in kept], {}, similarity)
         made.repeats = made._needed()
         return made
 
-    def _needed(self) -> int:
-        """Repetitions for RECALL, from random edits at the threshold on (at most 200 of) the items themselves."""
-        rng, met, tried = np.random.default_rng(5), 0, 0
-        for code in self.codes[:: max(1, len(self.codes) // 200)]:
-            k = edits_allowed(len(code), self.similarity)
-            if not k:
+    def _needed(self) -> dict[int, int]:
+        """By item length, the repetitions for RECALL of random edits at the threshold on the items themselves; 0 if more than REPEATS."""
+        rng, by_length, out, enough = np.random.default_rng(5), {}, {}, True
+        for code in self.codes:
+            by_length.setdefault(len(code), []).append(code)
+        lengths = sorted(by_length)
+        for n in lengths:
+            of = max(m for m in lengths if (m - 1) // LENGTHS == (n - 1) // LENGTHS)
+            if of in out:
+                out[n] = out[of]
                 continue
+            if not edits_allowed(of, self.similarity):
+                out[n] = 1
+                continue
+            # What a length needs rises with it.
+            out[n] = out[of] = self._repeats(by_length[of], rng) if enough else 0
+            enough = out[n] > 0
+        return out
+
+    def _repeats(self, codes: list[np.ndarray], rng: np.random.Generator) -> int:
+        n = len(codes[0])
+        pair = np.full((2 * TRIED, n), -1, np.int64)
+        for t in range(TRIED):
+            code = codes[t * len(codes) // TRIED if len(codes) > TRIED else t % len(codes)]
             changed = list(code)
-            for _ in range(k):
+            for _ in range(edits_allowed(n, self.similarity)):
                 p, kind = int(rng.integers(len(changed))), int(rng.integers(3))
                 if kind == 0:
                     changed[p] = -1
@@ -159,21 +181,23 @@ class Items:
                     del changed[p]
                 else:
                     changed.insert(p, -1)
-            pair = np.full((2, len(code)), -1, np.int64)
-            pair[0] = code
-            pair[1, : min(len(code), len(changed))] = changed[: len(code)]
-            a, b = embed(pair, 12)
-            met, tried = met + int((a == b).sum()), tried + 12
-        rate = met / tried if tried else 1.0
-        return REPEATS if rate <= 0 else 1 if rate >= 1 else int(min(REPEATS, max(1, np.ceil(np.log(1 - RECALL) / np.log(1 - rate)))))
+            pair[t], pair[TRIED + t, : min(n, len(changed))] = code, changed[:n]
+        key = embed(pair, REPEATS)
+        recall = np.logical_or.accumulate(key[:TRIED] == key[TRIED:], axis=1).mean(axis=0)
+        reached = np.flatnonzero(recall >= RECALL)
+        return int(reached[0]) + 1 if len(reached) else 0
 
     def prepare(self) -> None:
         """Grams and sampled keys of the items, on the worker."""
         self.length = np.array([len(c) for c in self.codes], np.int64)
         by_gram: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        counted: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for i, c in enumerate(self.codes):
             g = gram_length(len(c), self.similarity)
             o = np.arange(len(c) - g + 1)
+            if not self.repeats[len(c)]:
+                counted.setdefault(g, []).append((self.grams(c, g), np.full(len(o), i), o))
+                continue
             by_gram.setdefault(g, []).append((self.grams(c, g), np.full(len(o), len(c)), o))
         self.places = {}
         for g, parts in by_gram.items():
@@ -184,11 +208,18 @@ class Items:
             bits = np.zeros(1 << 22, np.bool_)
             bits[(key & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
             self.places[g] = (key, triple.f1, triple.f2, bits)
+        self.counted = {}
+        for g, parts in counted.items():
+            key, item, o = (np.concatenate(p) for p in zip(*parts, strict=True))
+            by = np.argsort(key, kind="stable")
+            self.counted[g] = (key[by], item[by], o[by])
         self.tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for n in np.unique(self.length):
+            if not self.repeats[int(n)]:
+                continue
             own = np.flatnonzero(self.length == n)
             rows = np.stack([self.codes[i] for i in own])
-            for seed, key in enumerate(embed(rows, self.repeats).T):
+            for seed, key in enumerate(embed(rows, self.repeats[int(n)]).T):
                 by = np.argsort(key, kind="stable")
                 self.tables[int(n), seed] = (key[by], own[by])
 
@@ -220,6 +251,34 @@ class Items:
         for s, keys in found.items():
             yield s, np.unique(np.concatenate(keys))
 
+    def runs(self, code: np.ndarray, own: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(size, texts, items, starts) for items that are not sampled: enough of an item's grams are whole with starts
+        (a gram's place less its place in the item) within the allowed edits of each other, the least of them among
+        the ``edits + 1`` places from the start given."""
+        for g, (key, item, offset) in self.counted.items():
+            if len(code) < g:
+                continue
+            have = self.grams(code, g)
+            at = np.flatnonzero(own[: len(have)] == own[g - 1 :])
+            low, high = np.searchsorted(key, have[at], "left"), np.searchsorted(key, have[at], "right")
+            n = high - low
+            at = np.repeat(at, n)
+            entry = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(len(at))
+            text, of, start = own[at], item[entry], at - offset[entry]
+            by = np.lexsort((start, of, text))
+            text, of, start = text[by], of[by], start[by]
+            size = self.length[of]
+            k = np.array([edits_allowed(m, self.similarity) for m in range(int(size.max(initial=0)) + 1)])[size]
+            least = np.maximum(1, size - g + 1 - k * g)
+            pair = np.cumsum(np.concatenate([[0], (text[1:] != text[:-1]) | (of[1:] != of[:-1])])) if len(text) else text
+            # Starts lie in (-longest item, words): one number for a pair and its start.
+            wide = len(code) + 2 * int(self.length.max()) + 2
+            place = pair * wide + start + int(self.length.max())
+            many = np.searchsorted(place, place + np.minimum(k, wide), "right") - np.arange(len(place)) >= least
+            found = np.unique(np.stack([size[many], text[many], of[many], start[many] // (k[many] + 1) * (k[many] + 1)]), axis=1)
+            for s in np.unique(found[0]):
+                yield int(s), *found[1:, found[0] == s]
+
     def matches(self, code: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int]]:
         """(text, item, edits) of every text and item within the item's allowed edits, the least for each pair."""
         own = flat.owners(off)
@@ -234,7 +293,7 @@ class Items:
                 inside = (place >= off[t][:, None]) & (place < off[t + 1][:, None])
                 rows = np.where(inside, code[np.clip(place, 0, len(code) - 1)], -1)
                 pairs = []
-                for seed, have in enumerate(embed(rows, self.repeats).T):
+                for seed, have in enumerate(embed(rows, self.repeats[size]).T):
                     key, item = self.tables[size, seed]
                     low, high = np.searchsorted(key, have, "left"), np.searchsorted(key, have, "right")
                     n = high - low
@@ -252,6 +311,17 @@ class Items:
                     for x in np.flatnonzero(edits <= k):
                         who = (int(t[ww[x]]), int(ii[x]))
                         best[who] = min(best.get(who, size), int(edits[x]))
+        for size, text, item, start in self.runs(code, own):
+            k = edits_allowed(size, self.similarity)
+            step = max(1, CELLS // (size + 3 * k + 1))
+            for a in range(0, len(text), step):
+                t, ii = text[a : a + step], item[a : a + step]
+                wide = start[a : a + step, None] + np.arange(-k, size + 2 * k + 1)
+                inside = (wide >= off[t][:, None]) & (wide < off[t + 1][:, None])
+                edits = sellers(np.stack([self.codes[i] for i in ii]), np.where(inside, code[np.clip(wide, 0, len(code) - 1)], -1))
+                for x in np.flatnonzero(edits <= k):
+                    who = (int(t[x]), int(ii[x]))
+                    best[who] = min(best.get(who, size), int(edits[x]))
         return [(text, item, e) for (text, item), e in sorted(best.items())]
 
 

@@ -338,6 +338,24 @@ def test_decontamination_finds_edited_items(spark, small):
     assert all(e == plain_edits(items[i], plain(text[d])) <= decontaminate.edits_allowed(len(items[i])) for (d, i), e in got.items())
 
 
+def test_decontamination_finds_edited_long_items(spark):
+    """Items of 150 to 400 words among short ones, edited as far as is allowed, are found as surely as the short ones."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=5))
+    items = [[word() for _ in range(rng.choice((150, 250, 400)) if k % 5 == 0 else rng.randint(15, 59))] for k in range(200)]
+    rows = []
+    for k, item in enumerate(items):
+        w = list(item)
+        for _ in range(decontaminate.edits_allowed(len(item))):
+            p = rng.randrange(len(w))
+            w[p : p + rng.randint(0, 1)] = [word()] * rng.randint(0, 1)
+        rows.append((k, " ".join([*(word() for _ in range(50)), *w, *(word() for _ in range(50))])))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.matches(docs, bench).collect()}
+    assert all(got.get((k, k)) == plain_edits(items[k], rows[k][1].split()) for k in range(0, 200, 5))
+    assert set(got) <= {(k, k) for k in range(200)} and len(got) >= 194
+
+
 def test_decontamination_equals_brute_force(spark, small):
     docs, bench = table(spark, small, "documents").limit(60), table(spark, small, "benchmark")
     plain = lambda t: re.findall(r"[^\W_]+", t.lower())
