@@ -2,8 +2,12 @@
 
 DataFrame functions only. Every line of every file that has one of the templates' marker words is a candidate
 header, and so is each run of neighbouring candidate lines, so that notices over several lines count as one text.
+Notices that are wrapped or stand inside a longer line are found in windows: at each of a notice's anchor words in
+a text of which a line has a marker, the window of the notice's size is a candidate, over line ends too. Whole texts of
+at most ``WHOLE`` words are candidates for whole licences. SPDX tags are read, not scored: a tag's identifiers count
+as cosine 1 for their own file, and identifiers that no template has count as none.
 Candidates and templates are sparse vectors over the templates' words (a vocabulary bounded by the templates);
-words weigh by the inverse share of candidates that have them, counted over all files. The product of vectors is a
+words weigh by the inverse share of candidate lines and runs that have them, counted over all files. The product of vectors is a
 join on the word with the templates' few rows, summed by candidate and template. A file's own licence is its best
 candidate's best template, if the cosine is at least ``LEAST``.
 
@@ -21,6 +25,7 @@ name; repeated rows count once per row; extra columns are not read; an empty tab
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
@@ -56,11 +61,62 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
+#: First lines of whole licences; they are looked for in windows as notices are.
+HEADINGS: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("Apache License Version 2.0, January 2004",),
+    "GPL-3.0": ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
+    "GPL-2.0": ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991",),
+    "LGPL-3.0": ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
+    "MPL-2.0": ("Mozilla Public License Version 2.0",),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International Public License",),
+    "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International Public License",),
+    "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International Public License",),
+}
+#: Names that stand on a line of their own, which prose may mention: no windows are made for them.
+NAMES: dict[str, tuple[str, ...]] = {"MIT": ("MIT License", "The MIT License (MIT)"), "ISC": ("ISC License",), "BSD-3-Clause": ("BSD 3-Clause License",)}
+#: Whole licences, for whole texts.
+FULL: dict[str, tuple[str, ...]] = {
+    "MIT": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished "
+        "to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+        "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT "
+        "OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear "
+        "in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT "
+        "SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+        "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the "
+        "above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+        "following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to "
+        "endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR "
+        "IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+        "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, "
+        "OR TORT ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as "
+        "a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all "
+        "copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors.",
+    ),
+}
+#: Words of the longest text that is compared with whole licences.
+WHOLE = 600
+#: Words that place a notice's windows, and SPDX tags with their expressions.
+ANCHORS = r"^(licen|redistribut|permission|granted$|domain$)"
+TAG = r"(?i)SPDX-License-Identifier:[ \t]*(\(?[A-Za-z0-9.+-]+\)?(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(?[A-Za-z0-9.+-]+\)?)*)"
 #: A line without any of these is no part of a notice.
 MARKERS = ("licen", "spdx", "permission", "redistribut", "public domain", "free software", "subject to the terms", "hereby granted")
 LEAST = 0.75
 #: Folder levels of a path that are looked at.
 DEPTH = 64
+#: The number of a whole text among its candidates; windows have smaller ones, lines and runs larger ones.
+WHOLE_RUN = -5
 BROADCAST_ROWS = 100_000
 SALT = 64
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
@@ -71,56 +127,92 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.]+|\.(?!\p{N})|(?<!\p{N})\.", -1), lambda w: w != "")
 
 
+def _split(notice: str) -> list[str]:
+    return re.findall(r"\d+(?:\.\d+)+|[^\W_]+", notice.lower())
+
+
+def templates() -> list[tuple[str, str, bool]]:
+    """(licence, notice, whether it is looked for in windows)."""
+    return [(name, notice, windowed) for kind, windowed in ((TEMPLATES, True), (HEADINGS, True), (NAMES, False), (FULL, False)) for name, notices in sorted(kind.items()) for notice in notices]
+
+
 def vocabulary() -> list[str]:
-    found = {w for notices in TEMPLATES.values() for t in notices for w in re.findall(r"\d+(?:\.\d+)+|[^\W_]+", t.lower())}
-    return sorted(found)
+    return sorted({w for _, notice, _ in templates() for w in _split(notice)})
+
+
+def windows(marked: DataFrame) -> DataFrame:
+    """file, run, t, is_line for texts (file, t): the windows of notices' sizes at their anchor words, and short whole texts."""
+    places: dict[str, set[tuple[int, int]]] = {}
+    for _, notice, windowed in templates():
+        words = _split(notice) if windowed else []
+        for o, w in enumerate(words):
+            if re.match(ANCHORS, w):
+                places.setdefault(w, set()).add((o, len(words)))
+    table = F.from_json(F.lit(json.dumps({w: [{"o": o, "l": n} for o, n in sorted(p)] for w, p in sorted(places.items())})), "map<string,array<struct<o:int,l:int>>>")
+    none = F.array().cast("array<struct<s:int,l:int>>")
+    at = lambda w, i: F.coalesce(F.transform(F.try_element_at(table, w), lambda x: F.struct(F.greatest(i - x["o"], F.lit(0)).alias("s"), x["l"].alias("l"))), none)
+    each = marked.select("file", "t", F.explode(F.array_distinct(F.flatten(F.transform("t", at)))).alias("w"))
+    found = each.select("file", (-(F.col("w.s").cast("long") * 1024 + F.col("w.l") + 10)).alias("run"), F.slice("t", F.col("w.s") + 1, F.col("w.l")).alias("t"), F.lit(False).alias("is_line"))
+    return found.unionByName(marked.where(F.size("t") <= WHOLE).select("file", F.lit(WHOLE_RUN).alias("run"), "t", F.lit(False).alias("is_line")))
 
 
 def candidates(files: DataFrame) -> DataFrame:
-    """path, file, run, text: the runs of neighbouring lines with a marker, and each of their lines."""
+    """file, run, t (words), is_line: lines with a marker, the runs of neighbouring ones, windows and short whole texts."""
     marked = "(?i)" + "|".join(map(re.escape, MARKERS))
     some = files.where(F.col("text").rlike(marked)).select("file", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = some.where(F.col("line").rlike(marked))
+    lines = some.where(F.col("line").rlike(marked) & ~F.col("line").rlike(TAG))
     by = Window.partitionBy("file").orderBy("pos")
     runs = lines.withColumn("run", F.col("pos") - F.row_number().over(by))
     joined = runs.groupBy("file", "run").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), " ").alias("text"), F.count("*").alias("n_lines"))
     single = runs.select("file", F.col("pos").alias("run"), F.col("line").alias("text"), F.lit(True).alias("is_line"))
-    return single.unionByName(joined.where("n_lines > 1").select("file", "run", "text", F.lit(False).alias("is_line")))
+    lined = single.unionByName(joined.where("n_lines > 1").select("file", "run", "text", F.lit(False).alias("is_line")))
+    # Equal texts of one file's key are one.
+    whole = files.where(F.col("text").rlike(marked)).select("file", tokens(F.regexp_replace("text", TAG, "")).alias("t")).dropDuplicates(["file"])
+    return lined.select("file", F.col("run").cast("long").alias("run"), tokens(F.col("text")).alias("t"), "is_line").unionByName(windows(whole))
 
 
 def scored(spark: SparkSession, found: DataFrame) -> DataFrame:
     """file, run, is_line, n_words, license, cosine: the best template of each candidate that shares a word with one."""
     words = vocabulary()
-    each = found.select("file", "run", "is_line", tokens(F.col("text")).alias("t")).withColumn("n_words", F.size("t"))
+    each = found.select("file", "run", "is_line", "t", F.size("t").alias("n_words"))
     counted = each.select("file", "run", "is_line", "n_words", F.explode("t").alias("word"))
     terms = stored(counted.groupBy("file", "run", "is_line", "n_words", "word").agg(F.count("*").alias("tf")), "licence-terms")
-    total = terms.select("file", "run", "is_line").distinct().count()
-    share = {r["word"]: r["n"] for r in terms.where(F.col("word").isin(words)).groupBy("word").agg(F.count("*").alias("n")).collect()}
+    lined = terms.where(F.col("run") > WHOLE_RUN)
+    total = lined.select("file", "run", "is_line").distinct().count()
+    share = {r["word"]: r["n"] for r in lined.where(F.col("word").isin(words)).groupBy("word").agg(F.count("*").alias("n")).collect()}
     # The inverse share of candidates, smoothed; words that no template has weigh like the rarest.
     idf = {w: math.log((1 + total) / (1 + share.get(w, 0))) + 1 for w in words}
     other = math.log(1 + total) + 1
     rows = []
-    for name, notices in sorted(TEMPLATES.items()):
-        for k, notice in enumerate(notices):
-            tf: dict[str, int] = {}
-            for w in re.findall(r"\d+(?:\.\d+)+|[^\W_]+", notice.lower()):
-                tf[w] = tf.get(w, 0) + 1
-            norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in tf.items()))
-            rows += [(w, name, k, n * idf[w] / norm) for w, n in tf.items()]
+    for k, (name, notice, windowed) in enumerate(templates()):
+        tf: dict[str, int] = {}
+        for w in _split(notice):
+            tf[w] = tf.get(w, 0) + 1
+        norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in tf.items()))
+        rows += [(w, name, k, n * idf[w] / norm, windowed) for w, n in tf.items()]
     quote = lambda x: "'" + str(x) + "'"
-    templates = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({quote(w)}, {quote(n)}, {k}, double({v!r}))" for w, n, k, v in rows) + " AS t(word, license, notice, weight)")
+    notices = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({quote(w)}, {quote(n)}, {k}, double({v!r}), {x})" for w, n, k, v, x in rows) + " AS t(word, license, notice, weight, windowed)")
     weights = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({quote(w)}, double({v!r}))" for w, v in idf.items()) + " AS t(word, idf)")
     valued = terms.join(F.broadcast(weights), "word", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(other)))
     norms = valued.groupBy("file", "run", "is_line", "n_words").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    dots = valued.join(F.broadcast(templates), "word").groupBy("file", "run", "is_line", "n_words", "license", "notice").agg(F.sum(F.col("v") * F.col("weight")).alias("dot"))
+    dots = valued.join(F.broadcast(notices), "word").where(F.col("windowed") | (F.col("run") >= WHOLE_RUN)).groupBy("file", "run", "is_line", "n_words", "license", "notice").agg(F.sum(F.col("v") * F.col("weight")).alias("dot"))
     both = dots.join(norms, ["file", "run", "is_line", "n_words"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9))
     best = F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license").alias("l"))).alias("b")
     return both.groupBy("file", "run", "is_line", "n_words").agg(best).select("file", "run", "is_line", "n_words", F.col("b.l").alias("license"), (-F.col("b.c")).alias("cosine"))
 
 
+def tagged(files: DataFrame) -> DataFrame:
+    """file, run, is_line, n_words (0: a tag speaks for its own file only), license, cosine of known identifiers in SPDX tags."""
+    names = F.from_json(F.lit(json.dumps({n.lower(): n for n in sorted(TEMPLATES)})), "map<string,string>")
+    each = files.where(F.col("text").rlike(TAG)).select("file", F.explode(F.regexp_extract_all("text", F.lit(TAG), F.lit(1))).alias("x"))
+    ids = each.select("file", F.explode(F.split(F.lower("x"), r"[\s()]+", -1)).alias("id"))
+    known = ids.select("file", F.try_element_at(names, F.regexp_replace("id", r"(-only|-or-later|\+)?\.*$", "")).alias("license")).where(F.col("license").isNotNull())
+    return known.select("file", F.lit(0).cast("long").alias("run"), F.lit(True).alias("is_line"), F.lit(0).alias("n_words"), "license", F.lit(1.0).alias("cosine"))
+
+
 def own_licenses(files: DataFrame) -> DataFrame:
-    """file, own_license, cosine, matched_words of the files that have a candidate at or above LEAST."""
-    good = scored(files.sparkSession, candidates(files)).where(F.col("cosine") >= LEAST)
+    """file, own_license, cosine, matched_words of the files that have a tag or a candidate at or above LEAST."""
+    good = scored(files.sparkSession, candidates(files)).where(F.col("cosine") >= LEAST).unionByName(tagged(files))
     pick = F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license").alias("l"))).alias("b")
     return good.groupBy("file").agg(pick, F.max(F.when(F.col("is_line"), F.lit(0)).otherwise(F.col("n_words"))).alias("in_run"), F.sum(F.when(F.col("is_line"), F.col("n_words")).otherwise(0)).alias("in_lines")).select(
         "file", F.col("b.l").alias("own_license"), (-F.col("b.c")).alias("cosine"), F.greatest("in_run", "in_lines").alias("matched_words")

@@ -289,6 +289,24 @@ def test_licences_and_their_inheritance(spark, monkeypatch):
     assert licenses.scan(df.limit(0), ["k"]).count() == 0
 
 
+def test_licences_in_tags_paragraphs_and_whole_texts(spark):
+    import textwrap
+
+    mit = "MIT License\n\nCopyright (c) 2020 Some One\n\n" + textwrap.fill(licenses.FULL["MIT"][0], 70)
+    prose = "The river rose again in spring and the mill stood still for weeks. "
+    rows = [
+        ("a/m.c", "// SPDX-License-Identifier: MIT\nint main;" + " x" * 50, "MIT", False), ("a/n.py", "# SPDX-License-Identifier: Apache-2.0\n" + prose, "Apache-2.0", False),
+        ("a/o.h", "/* SPDX-License-Identifier: GPL-3.0-or-later */\n" + prose, "GPL-3.0", False), ("a/p", "SPDX-License-Identifier: Foo-1.0\n" + prose, None, False),
+        ("b/whole.txt", mit, "MIT", True), ("b2/whole.txt", textwrap.fill(licenses.FULL["ISC"][0], 60), "ISC", True),
+        ("c/COPYING", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n" + prose * 20, "GPL-3.0", True),
+        ("d/x", prose * 3 + "Licensed under CC BY 4.0. " + prose * 3, "CC-BY-4.0", False), ("e/x", prose + "Nobody gave permission to read the MIT License aloud. " + prose, None, False),
+        ("f/x.js", "/*\n * Licensed under the Apache License, Version 2.0 (the\n * \"License\"); you may not use this file except\n * in compliance with the License.\n */\n" + prose * 5, "Apache-2.0", False),
+    ]
+    df = spark.createDataFrame([(i, r[0], r[1]) for i, r in enumerate(rows)], "k int, path string, text string")
+    got = [(r.own_license, r.is_license_file) for r in licenses.scan(df, ["k"]).orderBy("k").collect()]
+    assert got == [r[2:] for r in rows]
+
+
 def test_licences_of_documents(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in queries.op8_licenses(spark, sf).collect()}
