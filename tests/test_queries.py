@@ -50,3 +50,12 @@ def test_flagship_has_a_row_for_every_message(spark, small):
     got = entry.entry(spark)
     messages = sum(spark.read.parquet(f"{small}/{t}.parquet").count() for t in ("conversations", "documents"))
     assert got.count() == messages and set(got.columns) >= {"req_id", "verdict", "top_layer", "n_hits"}
+
+
+def test_session_windows_hold_all_earlier_turns(spark, tmp_path):
+    from siltgate.plans.queries import requests
+
+    spark.createDataFrame([(1, t, "user", f"text {t}") for t in range(50)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.req_id: r.session_window for r in requests(spark, str(tmp_path)).collect()}
+    assert got == {f"c-1-{t}": [f"text {i}" for i in range(t)] for t in range(50)}
