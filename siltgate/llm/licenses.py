@@ -140,24 +140,37 @@ def vocabulary() -> list[str]:
     return sorted({w for _, notice, _ in templates() for w in _split(notice)})
 
 
-def windows(marked: DataFrame) -> DataFrame:
-    """file, run, t, is_line for texts (file, t): the windows of notices' sizes at their anchor words, and short whole texts."""
-    places: dict[str, set[tuple[int, int]]] = {}
-    for _, notice, windowed in templates():
+def windows(marked: DataFrame, shares: list[list[tuple[str, float]]]) -> DataFrame:
+    """file, run, t, is_line for texts (file, t): the windows of notices' sizes at their anchor words, and short whole texts.
+
+    ``shares`` are the words of each template with their shares of its squared norm. The shares of the words that a text
+    has bound the square of its cosine, so texts whose bound is below LEAST are left out: they could not match.
+    """
+    places: dict[str, list[tuple[int, int, int]]] = {}
+    for k, (_, notice, windowed) in enumerate(templates()):
         words = _split(notice) if windowed else []
         for o, w in enumerate(words):
             if re.match(ANCHORS, w):
-                places.setdefault(w, set()).add((o, len(words)))
-    table = F.from_json(F.lit(json.dumps({w: [{"o": o, "l": n} for o, n in sorted(p)] for w, p in sorted(places.items())})), "map<string,array<struct<o:int,l:int>>>")
-    none = F.array().cast("array<struct<s:int,l:int>>")
-    at = lambda w, i: F.coalesce(F.transform(F.try_element_at(table, w), lambda x: F.struct(F.greatest(i - x["o"], F.lit(0)).alias("s"), x["l"].alias("l"))), none)
+                places.setdefault(w, []).append((o, len(words), k))
+    table = F.from_json(F.lit(json.dumps({w: [{"o": o, "l": n, "k": k} for o, n, k in p] for w, p in sorted(places.items())})), "map<string,array<struct<o:int,l:int,k:int>>>")
+    held = F.from_json(F.lit(json.dumps([[{"w": w, "p": p} for w, p in own] for own in shares])), "array<array<struct<w:string,p:double>>>")
+    bound = lambda t, k: F.aggregate(F.get(held, k), F.lit(0.0), lambda s, x: s + F.when(F.array_contains(t, x["w"]), x["p"]).otherwise(0.0))
+    could = lambda t, k: bound(t, k) >= LEAST**2 - 1e-6
+    none = F.array().cast("array<struct<s:int,l:int,k:int>>")
+    at = lambda w, i: F.coalesce(F.transform(F.try_element_at(table, w), lambda x: F.struct(F.greatest(i - x["o"], F.lit(0)).alias("s"), x["l"].alias("l"), x["k"].alias("k"))), none)
     each = marked.select("file", "t", F.explode(F.array_distinct(F.flatten(F.transform("t", at)))).alias("w"))
-    found = each.select("file", (-(F.col("w.s").cast("long") * 1024 + F.col("w.l") + 10)).alias("run"), F.slice("t", F.col("w.s") + 1, F.col("w.l")).alias("t"), F.lit(False).alias("is_line"))
-    return found.unionByName(marked.where(F.size("t") <= WHOLE).select("file", F.lit(WHOLE_RUN).alias("run"), "t", F.lit(False).alias("is_line")))
+    cut = each.select("file", "w.k", (-(F.col("w.s").cast("long") * 1024 + F.col("w.l") + 10)).alias("run"), F.slice("t", F.col("w.s") + 1, F.col("w.l")).alias("t"), F.lit(False).alias("is_line"))
+    found = cut.where(could(F.col("t"), F.col("k"))).drop("k").dropDuplicates(["file", "run"])
+    full = [k for k, (_, notice, _) in enumerate(templates()) if any(notice in f for f in FULL.values())]
+    some = F.lit(False)
+    for k in full:
+        some = some | could(F.col("t"), F.lit(k))
+    whole = marked.where((F.size("t") <= WHOLE) & some)
+    return found.unionByName(whole.select("file", F.lit(WHOLE_RUN).cast("long").alias("run"), "t", F.lit(False).alias("is_line")))
 
 
 def candidates(files: DataFrame) -> DataFrame:
-    """file, run, t (words), is_line: lines with a marker, the runs of neighbouring ones, windows and short whole texts."""
+    """file, run, t (words), is_line: lines with a marker, and the runs of neighbouring ones."""
     marked = "(?i)" + "|".join(map(re.escape, MARKERS))
     some = files.where(F.col("text").rlike(marked)).select("file", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     lines = some.where(F.col("line").rlike(marked) & ~F.col("line").rlike(TAG))
@@ -166,18 +179,24 @@ def candidates(files: DataFrame) -> DataFrame:
     joined = runs.groupBy("file", "run").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), " ").alias("text"), F.count("*").alias("n_lines"))
     single = runs.select("file", F.col("pos").alias("run"), F.col("line").alias("text"), F.lit(True).alias("is_line"))
     lined = single.unionByName(joined.where("n_lines > 1").select("file", "run", "text", F.lit(False).alias("is_line")))
-    # Equal texts of one file's key are one.
-    whole = files.where(F.col("text").rlike(marked)).select("file", tokens(F.regexp_replace("text", TAG, "")).alias("t")).dropDuplicates(["file"])
-    return lined.select("file", F.col("run").cast("long").alias("run"), tokens(F.col("text")).alias("t"), "is_line").unionByName(windows(whole))
+    return lined.select("file", F.col("run").cast("long").alias("run"), tokens(F.col("text")).alias("t"), "is_line")
+
+
+def marked_texts(files: DataFrame) -> DataFrame:
+    """file, t (words) of the texts with a marker, without SPDX tags."""
+    marked = "(?i)" + "|".join(map(re.escape, MARKERS))
+    return files.where(F.col("text").rlike(marked)).select("file", tokens(F.regexp_replace("text", TAG, "")).alias("t"))
+
+
+def _terms(found: DataFrame) -> DataFrame:
+    each = found.select("file", "run", "is_line", F.size("t").alias("n_words"), F.explode("t").alias("word"))
+    return each.groupBy("file", "run", "is_line", "n_words", "word").agg(F.count("*").alias("tf"))
 
 
-def scored(spark: SparkSession, found: DataFrame) -> DataFrame:
+def scored(spark: SparkSession, files: DataFrame) -> DataFrame:
     """file, run, is_line, n_words, license, cosine: the best template of each candidate that shares a word with one."""
     words = vocabulary()
-    each = found.select("file", "run", "is_line", "t", F.size("t").alias("n_words"))
-    counted = each.select("file", "run", "is_line", "n_words", F.explode("t").alias("word"))
-    terms = stored(counted.groupBy("file", "run", "is_line", "n_words", "word").agg(F.count("*").alias("tf")), "licence-terms")
-    lined = terms.where(F.col("run") > WHOLE_RUN)
+    lined = stored(_terms(candidates(files)), "licence-terms")
     total = lined.select("file", "run", "is_line").distinct().count()
     share = {r["word"]: r["n"] for r in lined.where(F.col("word").isin(words)).groupBy("word").agg(F.count("*").alias("n")).collect()}
     # The inverse share of candidates, smoothed; words that no template has weigh like the rarest.
@@ -190,6 +209,10 @@ def scored(spark: SparkSession, found: DataFrame) -> DataFrame:
             tf[w] = tf.get(w, 0) + 1
         norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in tf.items()))
         rows += [(w, name, k, n * idf[w] / norm, windowed) for w, n in tf.items()]
+    shares: list[list[tuple[str, float]]] = [[] for _ in templates()]
+    for w, _, k, v, _ in rows:
+        shares[k].append((w, v * v))
+    terms = lined.unionByName(stored(_terms(windows(marked_texts(files), shares)), "licence-window-terms"))
     quote = lambda x: "'" + str(x) + "'"
     notices = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({quote(w)}, {quote(n)}, {k}, double({v!r}), {x})" for w, n, k, v, x in rows) + " AS t(word, license, notice, weight, windowed)")
     weights = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({quote(w)}, double({v!r}))" for w, v in idf.items()) + " AS t(word, idf)")
@@ -212,7 +235,7 @@ def tagged(files: DataFrame) -> DataFrame:
 
 def own_licenses(files: DataFrame) -> DataFrame:
     """file, own_license, cosine, matched_words of the files that have a tag or a candidate at or above LEAST."""
-    good = scored(files.sparkSession, candidates(files)).where(F.col("cosine") >= LEAST).unionByName(tagged(files))
+    good = scored(files.sparkSession, files).where(F.col("cosine") >= LEAST).unionByName(tagged(files))
     pick = F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license").alias("l"))).alias("b")
     return good.groupBy("file").agg(pick, F.max(F.when(F.col("is_line"), F.lit(0)).otherwise(F.col("n_words"))).alias("in_run"), F.sum(F.when(F.col("is_line"), F.col("n_words")).otherwise(0)).alias("in_lines")).select(
         "file", F.col("b.l").alias("own_license"), (-F.col("b.c")).alias("cosine"), F.greatest("in_run", "in_lines").alias("matched_words")
