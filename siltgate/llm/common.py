@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors see.
 
     ``spark.checkpoint.dir`` names it. Only where neither that setting nor a checkpoint folder of
-    the context is there (tests on one machine) a temporary folder is made.
+    the context is there and all tasks run in this process a temporary folder is made; on a cluster
+    that is an error, as each executor would write to its own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -29,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
     made = tempfile.mkdtemp(prefix="siltgate-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -58,25 +63,42 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def drop_stored(df: DataFrame) -> None:
     """Deletes the files that a frame from :func:`stored` reads."""
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         drop_path(df.sparkSession, folder)
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """A broadcast hint when the counted rows are within ``limit``; beyond it the planner shuffles both sides."""
-    return F.broadcast(df) if rows <= limit else df
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Gives a :func:`stored` whose tables are deleted when the block ends: for what no later step reads."""
+    paths = []
 
+    def put(df: DataFrame, what: str) -> DataFrame:
+        paths.append(fresh_path(spark, what))
+        df.write.option("compression", "zstd").parquet(paths[-1])
+        return spark.read.schema(df.schema).parquet(paths[-1])
 
-#: Rows that go to a Python worker at a time, at most: texts are long, and two copies of a batch are held.
-BATCH_ROWS = 2_000
+    try:
+        yield put
+    finally:
+        for path in paths:
+            drop_path(spark, path)
+
+
+#: Rows and bytes that go to a Python worker at a time, at most: texts differ in length a thousandfold, and two copies
+#: of a batch are held in either process.
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
 
 
 def map_texts(df: DataFrame, run, schema) -> DataFrame:
-    """``mapInArrow`` in batches of at most BATCH_ROWS rows (a setting of the session; smaller ones are kept)."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    """``mapInArrow`` in batches of at most BATCH_ROWS rows and about BATCH_BYTES.
+
+    Both bounds are settings of the session, read when the plan runs, so they stay set; smaller ones are kept.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            conf.set(key, str(most))
     return df.mapInArrow(run, schema)
 
 

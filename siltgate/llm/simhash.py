@@ -15,13 +15,17 @@ A shard yields a star per group that it finds (not the pairs of a group), and th
 joined into components by alternating large and small stars on tables in the shared folder.
 
 Defined results: null, empty and blank texts have fingerprint zero, linked like any other; texts with fewer
-words than a shingle have one shingle, the whole sequence; repeated rows each get a row; rows with a null id
-take no part in ids' minima, and if nothing else is in a component its id is null; other columns are not read.
+words than a shingle have one shingle, the whole sequence; very long texts are hashed whole, in a slice of their
+own; a bit that exactly half of the hashes have is 0; repeated rows each get a row; rows with a null id take no part
+in ids' minima, and if nothing else is in a component its id is null; an empty table gives an empty result; other
+columns are not read by :func:`clusters` and are passed on by :func:`keep_one`, in which rows are told apart by id
+and text, of a component the row with the smallest (id, text's hash) stays, once, and rows without an id all stay.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltgate.llm import flat
-from siltgate.llm.common import drop_stored, map_texts, stored
+from siltgate.llm.common import map_texts, scratch, stored, unique_name
 
 SEED = 42
 RADIUS = 2
@@ -213,43 +217,55 @@ def links(distinct: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFr
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v): alternating large and small stars until nothing changes.
 
-    Each round is a table in the shared folder, so lineage stays short and a lost executor costs a task.
+    Each round is a table in the shared folder, so lineage stays short and a lost executor costs a task; it is
+    deleted once the next one stands.
     """
     canon = lambda df: df.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = stored(canon(edges), "simhash-edges")
-    state = None
-    for _ in range(rounds):
-        ends = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = ends.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = canon(large)
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_low.select("u", F.col("m").alias("v")))
-        new = stored(canon(small), "simhash-edges")
-        seen = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop_stored(now)
-        now = new
-        if tuple(seen) == state:
-            break
-        state = tuple(seen)
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())
+    with ExitStack() as held:
+        now, state = held.enter_context(scratch(edges.sparkSession))(canon(edges), "simhash-edges"), None
+        for _ in range(rounds):
+            ends = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = ends.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large = canon(large)
+            small_low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(small_low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_low.select("u", F.col("m").alias("v")))
+            following = ExitStack()
+            now = following.enter_context(scratch(edges.sparkSession))(canon(small), "simhash-edges")
+            seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            held.close()
+            held.push(following)
+            if tuple(seen) == state:
+                break
+            state = tuple(seen)
+        else:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
+        return stored(now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct()), "simhash-components")
 
 
 def clusters(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id for every row of ``docs``."""
     marked = stored(fingerprints(docs, words), "simhash-fingerprints")
-    return _with_component(marked, lambda distinct: links(distinct, radius))
+    rooted, least = _rooted(marked, F.col("doc_id"), lambda distinct: links(distinct, radius))
+    return _with_component(marked, rooted, least)
 
 
-def _with_component(marked: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``marked`` (doc_id, fp) with component_id, for the stars that ``linked`` gives for the distinct fingerprints."""
-    per = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
-    found = components(linked(per.select("fp")))
-    rooted = per.join(found, per["fp"] == found["node"], "left").select(per["fp"].alias("f"), "low", F.coalesce("root", per["fp"]).alias("root"))
-    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(least, "root").select("f", "component_id")
+def _rooted(marked: DataFrame, low: Column, linked: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(f, low, root) of each distinct ``fp`` in ``marked``, and (root, low) of each component: ``low`` is the smallest there.
+
+    ``linked`` gives the stars between distinct fingerprints.
+    """
+    with scratch(marked.sparkSession) as put:
+        per = put(marked.groupBy("fp").agg(F.min(low).alias("low")), "simhash-distinct")
+        found = components(linked(per.select("fp")))
+        rooted = stored(per.join(found, per["fp"] == found["node"], "left").select(per["fp"].alias("f"), "low", F.coalesce("root", per["fp"]).alias("root")), "simhash-rooted")
+    # A table of its own: a component of a third of all fingerprints is then a skewed side that the join can split.
+    return rooted, stored(rooted.groupBy("root").agg(F.min("low").alias("low")), "simhash-least")
+
+
+def _with_component(marked: DataFrame, rooted: DataFrame, least: DataFrame) -> DataFrame:
+    """``marked`` (doc_id, fp) with component_id."""
+    named = rooted.select("f", "root").join(least, "root").select("f", F.col("low").alias("component_id"))
     return marked.join(named, marked["fp"] == named["f"], "left").select(*marked.columns, "component_id")
 
 
@@ -455,8 +471,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
 
 
-def near_clusters(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, fp, component_id for every row: components of links between texts of at least that similarity.
+def _near(docs: DataFrame, low: Column, words: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, a, b, fp of every row, and what :func:`_rooted` gives for links between texts of at least that similarity.
 
     Texts with equal shingle sets are one node, and ``fp`` is the set's number. Blocks of a fingerprint's bits make no
     shards at this similarity; minima of the shingle hashes do. All pairs of a shard are compared on their texts'
@@ -479,16 +495,28 @@ def near_clusters(docs: DataFrame, words: int = WORDS, similarity: float = SIMIL
                 yield pa.RecordBatch.from_arrays([piece.column(c) for c in keep] + made, schema.names)
 
     made = stored(map_texts(keyed, run, schema), "simhash-sketches")
-    one = F.min_by(F.struct("n", "sketch", "bands", "a", "b"), F.struct("a", "b")).alias("s")
-    distinct = stored(made.groupBy(F.col("fp").alias("node")).agg(one).select("node", "s.*"), "simhash-distinct-sketches")
-    groups = components(loose_links(distinct, similarity))
-    return _with_component(made.select("doc_id", "fp"), lambda _: exact_links(docs, distinct, groups, words, similarity))
+    with scratch(docs.sparkSession) as put:
+        one = F.min_by(F.struct("n", "sketch", "bands", "a", "b"), F.struct("a", "b")).alias("s")
+        distinct = put(made.groupBy(F.col("fp").alias("node")).agg(one).select("node", "s.*"), "simhash-distinct-sketches")
+        groups = components(loose_links(distinct, similarity))
+        return made, *_rooted(made, low, lambda _: exact_links(docs, distinct, groups, words, similarity))
+
+
+def near_clusters(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, fp, component_id for every row: components of links between texts of at least that similarity."""
+    made, rooted, least = _near(docs, F.col("doc_id"), words, similarity)
+    return _with_component(made.select("doc_id", "fp"), rooted, least)
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """All columns of the smallest id of each component, one row of it; rows without an id stay as they are."""
-    keep = near_clusters(docs, words, similarity).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id")).distinct()
-    return docs.join(keep, "doc_id").select(*docs.columns).dropDuplicates(["doc_id"]).union(docs.where(F.col("doc_id").isNull()))
+    """All columns of one row of each component, that with the smallest id, and of its texts the one with the smallest
+    hash; rows without an id stay as they are."""
+    low = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "a", "b"))
+    *_, least = _near(docs, low, words, similarity)
+    names = [unique_name(docs, n) for n in ("kept_id", "kept_a", "kept_b")]
+    kept = least.where(F.col("low").isNotNull()).select(*[F.col(f"low.{c}").alias(n) for c, n in zip(("doc_id", "a", "b"), names, strict=True)])
+    one = docs.join(kept, [F.col("doc_id") == F.col(names[0]), F.xxhash64("text") == F.col(names[1]), F.xxhash64(F.lit(1), "text") == F.col(names[2])])
+    return one.dropDuplicates(names).select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
 
 
 def hex_digits(fp: str) -> Column:
