@@ -14,11 +14,13 @@ so matches cannot overlap, and an escaped text contains no control string. In ro
 escaped too.
 
 Turns are ordered by (turn, role, text). A conversation is one training example and becomes one row: its turns,
-rendered one by one before, are gathered once.
+rendered one by one before, are gathered once. The loss mask has the place of every learned text, in code points and
+in bytes of the formatted text; what is learned is cut out by the mask, never taken from the source.
 
-Defined results: null texts and roles are empty; a conversation without assistant turns has an empty loss text;
-repeated rows are turns of their own; rows with a null conversation id form one conversation; extra columns
-are not read; an empty table gives no conversations.
+Defined results: null texts and roles are empty; a conversation without assistant turns has an empty mask and an empty
+loss text; turns that are equal in (turn, role, text) and repeated rows are turns of their own; each row with a null
+conversation id is a conversation of its own; very long texts are formatted whole; extra columns are not read; an empty
+table gives no conversations.
 """
 
 from __future__ import annotations
@@ -97,27 +99,40 @@ def render_turns(rows: DataFrame) -> DataFrame:
     again_role, again_text = parse(F.col("out"))
     same = ~F.col("escaped") | (again_role.eqNullSafe(role) & again_text.eqNullSafe(text))
     checked = second.withColumn("out", F.when(same, F.col("out")).otherwise(F.raise_error(F.lit("a turn does not survive its round trip"))))
-    inner = F.when(F.col("escaped"), F.length(escape(text))).otherwise(F.length(text))
-    return checked.select("conv_id", "turn", "role", "text", "escaped", "out", inner.alias("n_text"))
+    inner = F.when(F.col("escaped"), escape(text)).otherwise(text)
+    return checked.select("conv_id", "turn", "role", "text", "escaped", "out", F.length(inner).alias("n_text"), F.octet_length(inner).alias("n_bytes"))
+
+
+def _digest(role: Column, text: Column) -> Column:
+    """A digest of a turn; the role's length keeps the two apart."""
+    return F.sha2(F.concat(F.length(role).cast("string"), F.lit(":"), role, text), 256)
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
-    """conv_id, formatted, loss_mask (spans of learned texts in ``formatted``, in code points), source_hashes, n_escaped."""
+    """conv_id, formatted, loss_mask (spans of learned texts in ``formatted``: start and stop in code points, from_byte and
+    to_byte in UTF-8), source_digests, n_escaped."""
     by = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = render_turns(rows).withColumn("end", F.sum(F.length("out")).over(by))
-    stop = F.col("end") - (len(END) + 1)
-    each = placed.select(
-        "conv_id", "out", "end", "escaped", F.xxhash64("role", "text").alias("h"),
-        F.when(F.col("role").isin(*LEARNED), F.struct((stop - F.col("n_text")).alias("start"), stop.alias("stop"))).alias("span"),
-    )
+    turns = render_turns(rows)
+    tail = len(END) + 1
+
+    def placed(some: DataFrame, total) -> DataFrame:
+        ends = some.withColumn("end", total("out", F.length)).withColumn("end_byte", total("out", F.octet_length))
+        stop, to_byte = F.col("end") - tail, F.col("end_byte") - tail
+        span = F.struct((stop - F.col("n_text")).alias("start"), stop.alias("stop"), (to_byte - F.col("n_bytes")).alias("from_byte"), to_byte.alias("to_byte"))
+        return ends.select("conv_id", "out", "end", "escaped", _digest(F.col("role"), F.col("text")).alias("h"), F.when(F.col("role").isin(*LEARNED), span).alias("span"))
+
+    each = placed(turns.where(F.col("conv_id").isNotNull()), lambda c, size: F.sum(size(c)).over(by))
     whole = each.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("end", "out", "h", "span"))).alias("t"), F.count_if("escaped").alias("n_escaped"))
-    return whole.select(
+    together = whole.select(
         "conv_id",
         F.array_join(F.col("t.out"), "").alias("formatted"),
         F.array_compact(F.col("t.span")).alias("loss_mask"),
-        F.col("t.h").alias("source_hashes"),
+        F.col("t.h").alias("source_digests"),
         "n_escaped",
     )
+    # Rows without a conversation meet no other row, so they need no dealing; the filter reaches the scan.
+    alone = placed(turns.where(F.col("conv_id").isNull()), lambda c, size: size(c).cast("long"))
+    return together.unionByName(alone.select("conv_id", F.col("out").alias("formatted"), F.array_compact(F.array("span")).alias("loss_mask"), F.array("h").alias("source_digests"), F.col("escaped").cast("long").alias("n_escaped")))
 
 
 def read_conversations(formatted: DataFrame) -> DataFrame:
@@ -132,16 +147,22 @@ def read_conversations(formatted: DataFrame) -> DataFrame:
         return F.struct(_role_in(role).alias("role"), unescape(text).alias("text"))
 
     read = formatted.withColumn("turns", F.transform(F.slice(pieces, 1, F.size(pieces) - 1), turn))
-    same = F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"])) == F.col("source_hashes")
+    same = F.transform("turns", lambda t: _digest(t["role"], t["text"])) == F.col("source_digests")
     checked = F.when(same, F.col("turns")).otherwise(F.raise_error(F.lit("a conversation does not survive its round trip")))
     return read.select("conv_id", "formatted", "loss_mask", checked.alias("turns"))
 
 
+def learned(read: DataFrame) -> Column:
+    """All text under the loss mask of ``read``, unescaped, one span after the other."""
+    cut = lambda raw: F.transform("loss_mask", lambda m: unescape(F.decode(F.substr(raw, m["from_byte"].cast("int") + 1, (m["to_byte"] - m["from_byte"]).cast("int")), "UTF-8")))
+    # Bytes are cut in place; the one-element array makes them once, not once for each span.
+    return F.array_join(F.element_at(F.transform(F.array(read["formatted"].cast("binary")), cut), 1), "")
+
+
 def digests(read: DataFrame) -> DataFrame:
     """What the query reports of conversations that were read back."""
     all_text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"].isin(*LEARNED)), lambda t: t["text"]), "")
-    joined = read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), all_text.alias("all_text"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    joined = read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), all_text.alias("all_text"), learned(read).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     return joined.select(
         "conv_id", "n_turns", F.sha2("all_text", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",

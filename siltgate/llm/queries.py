@@ -25,7 +25,7 @@ def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, names = mixing.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out, names, _ = mixing.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
     return out.select("doc_id", *[F.col(c).alias(n) for n, c in names.items()])
 
 
@@ -46,7 +46,7 @@ WITH rows AS (
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 sized AS (
-  SELECT *, 24 + length(role) + length(text)
+  SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, 24 + length(role) + length(text)
     + len(regexp_extract_all(text, '<\\*(?:\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|SYS>>|/SYS>>)|\[\\*(?:INST\]|/INST\])')) AS chars
   FROM rows)
 SELECT conv_id, count(*) AS n_turns,
@@ -54,7 +54,7 @@ SELECT conv_id, count(*) AS n_turns,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   sum(chars)::BIGINT AS formatted_chars
-FROM sized GROUP BY conv_id
+FROM sized GROUP BY conv_id, alone
 """
 
 
