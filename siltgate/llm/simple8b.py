@@ -70,24 +70,29 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]
     return words, np.concatenate([[0], np.cumsum(per)])
 
 
-def decode(words: np.ndarray) -> np.ndarray:
-    """The ids of whole blocks of words, in order."""
+def decode(words: np.ndarray, offsets: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """The ids of the blocks that ``offsets`` cut ``words`` into, in order: all blocks decoded at once, each from its own start.
+
+    ``offsets`` may begin anywhere, so a run of blocks decodes without the words before it.
+    """
+    words, offsets = words[offsets[0] : offsets[-1]], offsets - offsets[0]
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
     selector = (words >> np.uint64(60)).astype(np.int64)
-    # A word after an escape is an id; runs that look like escapes are resolved from their first word on.
+    # A word after an escape is an id; runs that look like escapes are resolved from their first word, or their block's.
     maybe = selector == ESCAPE
     raw = np.zeros(n, np.bool_)
     if maybe.any():
         run_start = maybe.copy()
         run_start[1:] &= ~maybe[:-1]
+        begins = offsets[:-1][np.diff(offsets) > 0]
+        run_start[begins] = maybe[begins]
         first = np.maximum.accumulate(np.where(run_start, np.arange(n), 0))
         head = maybe & ((np.arange(n) - first) % 2 == 0)
         raw[1:] = head[:-1]
-        # The word after a run's last escape may itself begin no run: that it is an id is all that matters.
     counts = np.zeros(n, np.int64)
-    plain = ~raw & ~(maybe & ~raw)
+    plain = ~raw & ~maybe
     counts[plain] = COUNTS[selector[plain]]
     counts[raw] = 1
     place = np.concatenate([[0], np.cumsum(counts)])
@@ -98,4 +103,15 @@ def decode(words: np.ndarray) -> np.ndarray:
         bits, mask = int(BITS[s]), np.uint64((1 << int(BITS[s])) - 1)
         for k in range(int(COUNTS[s])):
             out[place[own] + k] = (words[own] >> np.uint64(k * bits)) & mask
+    per = np.diff(place[offsets])
+    if (per[:-1] != block).any() or per[-1] > block:
+        raise ValueError("a block does not hold the ids that its offset promises")
     return out
+
+
+def between(words: np.ndarray, offsets: np.ndarray, start: int, stop: int, block: int = BLOCK) -> np.ndarray:
+    """The ids from ``start`` to before ``stop``; only the blocks that hold them are decoded."""
+    first, last = start // block, -(-stop // block)
+    if first >= last:
+        return np.zeros(0, np.uint64)
+    return decode(words, offsets[first : last + 1], block)[start - first * block : stop - first * block]

@@ -1,8 +1,9 @@
 """Token ids of whole texts in Simple-8b files.
 
-Documents are dealt by ranges of their id to shards, sorted, and encoded; each shard's ids form a stream that is
-cut into files of rows: a row holds the ids of some whole documents as Simple-8b words, the word offset of
-every block of ids, and the documents' ids and lengths. The rows are written as Parquet by Spark, so that a
+Documents are dealt by ranges of (id, text's hash) to shards, sorted, and encoded; each shard's ids form a stream that
+is cut into files of rows: a row holds the ids of some whole documents as Simple-8b words, the word offset of every
+block of ids, and the documents' ids and lengths. Readers decode by these offsets, and a document's ids from its
+blocks alone (``simple8b.between``). Rows that are equal in both may go to any of several shards, in any order. The rows are written as Parquet by Spark, so that a
 lost executor's shard is written again and only committed files count, and any store that Spark knows will do.
 
 The vocabulary lower-cases and splits at white space before anything else, so the ids of a text are the ids of
@@ -11,8 +12,9 @@ with the tokenizer, and keeps a bounded memory of words. :func:`pieces` makes mo
 letters are encoded in one string, and told apart by the ids that end words. :func:`word_wise` tells whether a
 tokenizer works so; texts of other tokenizers are encoded whole.
 
-Defined results: null texts are empty; an empty text has only the end id; repeated rows are each encoded (their
-order among themselves is by text); rows with a null id come first; extra columns are not read.
+Defined results: null texts are empty; an empty text has only the end id; very long texts are encoded whole, as a file
+row of their own; repeated rows are each encoded, and rows of one id are in the order of their texts' hashes; rows with
+a null id come first; an empty table gives files without rows and an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -218,7 +220,10 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
                 )
                 row += 1
 
-    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # One id, or one row many times over, may be a third of the table: ranges cut it by hash, and equal rows by place.
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("place"))
+    ordered = keyed.repartitionByRange("doc_id", "h", "place").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     map_texts(ordered, run, schema).write.option("compression", "none").parquet(path)
 
 
@@ -245,7 +250,7 @@ def read(spark, path: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 got = batch.slice(i, 1)
-                ids = simple8b.decode(np.frombuffer(got.column("words")[0].as_buffer(), "<u8")).astype("<u4")
+                ids = simple8b.decode(np.frombuffer(got.column("words")[0].as_buffer(), "<u8"), got.column("block_offsets").flatten().to_numpy()).astype("<u4")
                 lengths = got.column("lengths").flatten().to_numpy()
                 off = np.concatenate([[0], np.cumsum(lengths)])
                 raw = memoryview(ids.tobytes())
@@ -253,7 +258,7 @@ def read(spark, path: str) -> DataFrame:
                 n = len(lengths)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, got.column("shard")[0].as_py()), pa.int32()), pa.array(np.full(n, got.column("row")[0].as_py()), pa.int64()), got.column("docs").flatten(), pa.array(off[:-1]), pa.array(lengths), pa.array(crc, pa.int64())], [f.name for f in schema])
 
-    decoded = rows.select("shard", "row", "docs", "lengths", "words").mapInArrow(run, schema)
+    decoded = rows.select("shard", "row", "docs", "lengths", "words", "block_offsets").mapInArrow(run, schema)
     return decoded.join(starts, ["shard", "row"]).select("doc_id", (F.col("row_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
