@@ -5,17 +5,21 @@ probabilities that the earlier links gave. While training, those probabilities a
 later link never learns from an earlier link's fit to its own rows. The last link is the labelled category.
 
 The words that the models look at are the ``VOCABULARY`` with the largest chi-square against the label in a
-bounded labelled sample (``FIT_ROWS`` of each class, by hash). Whole texts are scored.
-
-Defined results: null and empty texts have no words and get the intercepts' probabilities; without labelled
-rows of both classes every probability is 0 and nothing is toxic; repeated rows each get a row; further
-columns are not read by the scorer and are passed on by :func:`keep_clean`.
+bounded labelled sample (``FIT_ROWS`` of each class, by hash). The categories before the last come from the same
+sample, in whatever languages it has: the words that speak for the label are grouped by the texts that they share
+(``CATEGORIES`` groups), and a labelled text that has a word of a group is in its category. Whole texts are scored.
+
+Defined results: null and empty texts have no words and get the intercepts' probabilities; very long texts are read
+whole, in a slice of their own; words of equal weight are taken in the order of their letters; without labelled rows
+of both classes every probability is 0 and nothing is toxic; where fewer words speak for the label than there are
+categories, the others are empty and have the probability 0; repeated rows each get a row; an empty table gives an
+empty result; further columns are not read by the scorer and are passed on by :func:`keep_clean`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltgate.llm import flat
-from siltgate.llm.common import map_texts, stored
+from siltgate.llm.common import map_texts, scratch
 
 #: Labelled rows of each class that the driver fits on, at most.
 FIT_ROWS = 3_000
@@ -34,12 +38,8 @@ VOCABULARY = 1_024
 #: Smallest chi-square with one degree of freedom: by chance one word in a hundred thousand exceeds it.
 LEAST_CHI = 20.0
 FOLDS = 4
-#: Seeds of the weakly labelled categories: a labelled toxic text with one of the words belongs to the category.
-SEEDS = {
-    "intellect": ("idiot", "moron", "stupid", "imbecile", "dumb", "fool"),
-    "worth": ("trash", "scum", "worthless", "loser", "garbage", "vermin"),
-    "contempt": ("pathetic", "disgusting", "clown", "ridiculous", "revolting"),
-}
+#: Categories that the words which speak for the label are grouped to.
+CATEGORIES = 3
 TARGET = "toxic"
 
 
@@ -55,8 +55,11 @@ class Link:
 
 @dataclass(frozen=True)
 class Chain:
+    """The models, and the words of the categories that come before the label."""
+
     vocabulary: tuple[str, ...]
     links: tuple[Link, ...]
+    groups: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     @property
     def categories(self) -> list[str]:
@@ -152,14 +155,47 @@ def fit_chain(vocabulary: list[str], x: Presence, y: dict[str, np.ndarray], fold
     return Chain(tuple(vocabulary), tuple(links))
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = TARGET, seeds: dict[str, tuple[str, ...]] = SEEDS, rows: int = FIT_ROWS) -> Chain:
-    """Fits the chain on at most ``rows`` labelled texts of each class, those with the smallest hash of their id."""
+def word_groups(strength: np.ndarray, x: Presence, n: int, rounds: int = 20) -> np.ndarray:
+    """For each word its group (0 to n - 1), or -1 if its ``strength`` is not above 0.
+
+    Words are directions over the texts of ``x`` that have them; groups grow around the strongest word and then, n - 1
+    times, the word least like all chosen so far, and each word joins the most similar group's mean until none moves.
+    """
+    out, speak = np.full(x.n_words, -1), np.flatnonzero(strength > 0)
+    if not len(speak):
+        return out
+    has = np.zeros((len(speak), x.n))
+    at = np.full(x.n_words, -1)
+    at[speak] = np.arange(len(speak))
+    some = at[x.word] >= 0
+    has[at[x.word[some]], x.doc[some]] = 1
+    has /= np.maximum(np.linalg.norm(has, axis=1, keepdims=True), 1e-12)
+    chosen = [int(np.argmax(strength[speak]))]
+    while len(chosen) < min(n, len(speak)):
+        like = (has @ has[chosen].T).max(axis=1)
+        like[chosen] = np.inf
+        # Of the words least like the chosen ones, the strongest.
+        least = np.flatnonzero(like <= like.min() + 1e-12)
+        chosen.append(int(least[np.argmax(strength[speak][least])]))
+    mean, own = has[chosen], None
+    for _ in range(rounds):
+        new = np.argmax(np.round(has @ mean.T, 12), axis=1)
+        if own is not None and (new == own).all():
+            break
+        own = new
+        mean = np.stack([has[own == g].sum(axis=0) if (own == g).any() else mean[g] for g in range(len(chosen))])
+        mean /= np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)
+    out[speak] = own
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, target: str = TARGET, categories: int = CATEGORIES, rows: int = FIT_ROWS) -> Chain:
+    """Fits the chain on at most ``rows`` labelled ids of each class, those with the smallest hash of their id."""
     known = labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(target).cast("int").alias("label"))
     half = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
     chosen = half[0].unionByName(half[1])
-    # Copies of one text would make its chance words look significant: each distinct text counts once.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.min_by(F.struct("doc_id", "label", "text"), "doc_id").alias("r")).select("r.*")
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("label", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType()))])
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.xxhash64("text").alias("h"), "text")
+    schema = T.StructType([*(texts.schema[c] for c in ("doc_id", "label", "h")), T.StructField("words", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,26 +203,33 @@ def train(docs: DataFrame, labels: DataFrame, target: str = TARGET, seeds: dict[
                 doc, word = distinct_words(flat.texts(piece.column("text")))
                 off = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=piece.num_rows))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(off), word.cast(pa.string()))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("label"), lists], ["doc_id", "label", "words"])
-
-    sample = stored(map_texts(texts.select("doc_id", "label", "text"), run, schema), "toxicity-sample")
-    sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(sizes) < 2:
-        return Chain((), tuple(Link(c, -35.0, np.zeros(0), np.zeros(j)) for j, c in enumerate([*seeds, target])))
-    pos, all_rows = sizes[1], sizes[0] + sizes[1]
-    counted = sample.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("k"))
-    gap = F.col("k") - F.col("n") * (pos / all_rows)
-    chi = gap * gap / (F.col("n") * (pos / all_rows) * (1 - pos / all_rows))
-    top = counted.where("n >= 3").where(chi >= LEAST_CHI).orderBy(chi.desc(), "word").limit(VOCABULARY)
-    vocabulary = sorted({r["word"] for r in top.collect()} | {w for s in seeds.values() for w in s})
-    got = sample.select("doc_id", "label", (F.crc32(F.col("doc_id").cast("string")) % FOLDS).alias("fold"), F.array_intersect("words", F.lit(vocabulary)).alias("words")).orderBy("doc_id").collect()
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("doc_id", "label", "h")), lists], schema.names)
+
+    names = [f"category_{i + 1}" for i in range(categories)]
+    with scratch(docs.sparkSession) as put:
+        # Texts become words where they are read; only words are dealt out. Copies of one text would make its chance words
+        # look significant: each distinct text counts once.
+        first = F.min_by(F.struct("doc_id", "label", "words"), "doc_id").alias("r")
+        sample = put(map_texts(texts, run, schema).groupBy("h").agg(first).select("r.*"), "toxicity-sample")
+        sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+        if len(sizes) < 2:
+            return Chain((), tuple(Link(c, -35.0, np.zeros(0), np.zeros(j)) for j, c in enumerate([*names, target])))
+        pos, all_rows = sizes[1], sizes[0] + sizes[1]
+        counted = sample.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("k"))
+        gap = F.col("k") - F.col("n") * (pos / all_rows)
+        chi = gap * gap / (F.col("n") * (pos / all_rows) * (1 - pos / all_rows))
+        top = counted.where("n >= 3").where(chi >= LEAST_CHI).orderBy(chi.desc(), "word").limit(VOCABULARY)
+        strength = {r["word"]: r["s"] for r in top.select("word", F.when(gap > 0, chi).otherwise(F.lit(0.0)).alias("s")).collect()}
+        vocabulary = sorted(strength)
+        got = sample.select("doc_id", "label", (F.crc32(F.col("doc_id").cast("string")) % FOLDS).alias("fold"), F.array_intersect("words", F.lit(vocabulary).cast("array<string>")).alias("words")).orderBy("doc_id").collect()
     at = {w: j for j, w in enumerate(vocabulary)}
     pairs = np.array([(i, at[w]) for i, r in enumerate(got) for w in r["words"]], np.int64).reshape(-1, 2)
     x = Presence(len(got), len(vocabulary), pairs[:, 0], pairs[:, 1])
     label = np.array([r["label"] for r in got], float)
-    seeded = {c: np.isin(np.arange(len(vocabulary)), [at[w] for w in s]).astype(float) for c, s in seeds.items()}
-    y = {c: label * (x.times(some) > 0) for c, some in seeded.items()}
-    return fit_chain(vocabulary, x, y | {target: label}, np.array([r["fold"] for r in got]))
+    group = word_groups(np.array([strength[w] for w in vocabulary]), x.rows(label > 0), categories)
+    y = {c: label * (x.times((group == i).astype(float)) > 0) for i, c in enumerate(names)}
+    chain = fit_chain(vocabulary, x, y | {target: label}, np.array([r["fold"] for r in got]))
+    return replace(chain, groups={c: tuple(w for w, g in zip(vocabulary, group, strict=True) if g == i) for i, c in enumerate(names)})
 
 
 def _added(docs: DataFrame, model: Chain, columns: list[str], keep: bool) -> DataFrame:
