@@ -13,14 +13,16 @@ candidate's best template, if the cosine is at least ``LEAST``.
 
 A file is a licence file if its name says so, or if candidate lines that match hold at least half of its words. A
 licence file gives its licence to its folder; a file without a licence of its own takes that of its nearest
-ancestor folder that has one: its ancestors (bounded by ``DEPTH``) are joined to the licensed folders by path.
+ancestor folder that has one: all ancestors of the distinct folders, whatever their depth, are joined to the licensed
+folders by path.
 
 A folder with a third of all files is one row on the folders' side: it is broadcast while the counted folders are
 within ``BROADCAST_ROWS``, and salted beyond that. Candidates are few; hot lines meet only the small templates.
 
-Defined results: null and empty texts have no licence of their own; a null path is the root folder's file; ties
-between templates go to the smaller name, between licences of one folder to the better cosine, then the smaller
-name; repeated rows count once per row; extra columns are not read; an empty table gives an empty result.
+Defined results: null and empty texts have no licence of their own; a null path is the root folder's file; very long
+texts are searched whole; ties between templates go to the smaller name, between licences of one folder to the better
+cosine, then the smaller name; repeated rows are each reported, alike, and equal ones count once in the shares of words;
+extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,11 +30,12 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltgate.llm.common import stored
+from siltgate.llm.common import scratch, stored
 
 #: Short notices that name a licence, by SPDX identifier. Public licence notices and headers.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -48,8 +51,14 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
     ),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
-    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.",),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version.",
+    ),
+    "LGPL-3.0": (
+        "This library is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or any later version.",
+    ),
     "BSD-3-Clause": (
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
@@ -113,12 +122,12 @@ TAG = r"(?i)SPDX-License-Identifier:[ \t]*(\(?[A-Za-z0-9.+-]+\)?(?:[ \t]+(?:AND|
 #: A line without any of these is no part of a notice.
 MARKERS = ("licen", "spdx", "permission", "redistribut", "public domain", "free software", "subject to the terms", "hereby granted")
 LEAST = 0.75
-#: Folder levels of a path that are looked at.
-DEPTH = 64
 #: The number of a whole text among its candidates; windows have smaller ones, lines and runs larger ones.
 WHOLE_RUN = -5
 BROADCAST_ROWS = 100_000
 SALT = 64
+#: Writes a table to the shared folder and reads it back.
+Put = Callable[[DataFrame, str], DataFrame]
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
 
 
@@ -175,8 +184,10 @@ def candidates(files: DataFrame) -> DataFrame:
     some = files.where(F.col("text").rlike(marked)).select("file", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     lines = some.where(F.col("line").rlike(marked) & ~F.col("line").rlike(TAG))
     by = Window.partitionBy("file").orderBy("pos")
-    runs = lines.withColumn("run", F.col("pos") - F.row_number().over(by))
-    joined = runs.groupBy("file", "run").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), " ").alias("text"), F.count("*").alias("n_lines"))
+    # Ranks and sets, so that lines of repeated rows count once.
+    runs = lines.withColumn("run", F.col("pos") - F.dense_rank().over(by))
+    held = runs.groupBy("file", "run").agg(F.sort_array(F.collect_set(F.struct("pos", "line"))).alias("ls"))
+    joined = held.select("file", "run", F.array_join(F.transform("ls", lambda x: x["line"]), " ").alias("text"), F.size("ls").alias("n_lines"))
     single = runs.select("file", F.col("pos").alias("run"), F.col("line").alias("text"), F.lit(True).alias("is_line"))
     lined = single.unionByName(joined.where("n_lines > 1").select("file", "run", "text", F.lit(False).alias("is_line")))
     return lined.select("file", F.col("run").cast("long").alias("run"), tokens(F.col("text")).alias("t"), "is_line")
@@ -193,10 +204,10 @@ def _terms(found: DataFrame) -> DataFrame:
     return each.groupBy("file", "run", "is_line", "n_words", "word").agg(F.count("*").alias("tf"))
 
 
-def scored(spark: SparkSession, files: DataFrame) -> DataFrame:
+def scored(spark: SparkSession, files: DataFrame, put: Put = stored) -> DataFrame:
     """file, run, is_line, n_words, license, cosine: the best template of each candidate that shares a word with one."""
     words = vocabulary()
-    lined = stored(_terms(candidates(files)), "licence-terms")
+    lined = put(_terms(candidates(files)), "licence-terms")
     total = lined.select("file", "run", "is_line").distinct().count()
     share = {r["word"]: r["n"] for r in lined.where(F.col("word").isin(words)).groupBy("word").agg(F.count("*").alias("n")).collect()}
     # The inverse share of candidates, smoothed; words that no template has weigh like the rarest.
@@ -212,7 +223,7 @@ def scored(spark: SparkSession, files: DataFrame) -> DataFrame:
     shares: list[list[tuple[str, float]]] = [[] for _ in templates()]
     for w, _, k, v, _ in rows:
         shares[k].append((w, v * v))
-    terms = lined.unionByName(stored(_terms(windows(marked_texts(files), shares)), "licence-window-terms"))
+    terms = lined.unionByName(put(_terms(windows(marked_texts(files), shares)), "licence-window-terms"))
     quote = lambda x: "'" + str(x) + "'"
     notices = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({quote(w)}, {quote(n)}, {k}, double({v!r}), {x})" for w, n, k, v, x in rows) + " AS t(word, license, notice, weight, windowed)")
     weights = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({quote(w)}, double({v!r}))" for w, v in idf.items()) + " AS t(word, idf)")
@@ -233,9 +244,9 @@ def tagged(files: DataFrame) -> DataFrame:
     return known.select("file", F.lit(0).cast("long").alias("run"), F.lit(True).alias("is_line"), F.lit(0).alias("n_words"), "license", F.lit(1.0).alias("cosine"))
 
 
-def own_licenses(files: DataFrame) -> DataFrame:
+def own_licenses(files: DataFrame, put: Put = stored) -> DataFrame:
     """file, own_license, cosine, matched_words of the files that have a tag or a candidate at or above LEAST."""
-    good = scored(files.sparkSession, files).where(F.col("cosine") >= LEAST).unionByName(tagged(files))
+    good = scored(files.sparkSession, files, put).where(F.col("cosine") >= LEAST).unionByName(tagged(files))
     pick = F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license").alias("l"))).alias("b")
     return good.groupBy("file").agg(pick, F.max(F.when(F.col("is_line"), F.lit(0)).otherwise(F.col("n_words"))).alias("in_run"), F.sum(F.when(F.col("is_line"), F.col("n_words")).otherwise(0)).alias("in_lines")).select(
         "file", F.col("b.l").alias("own_license"), (-F.col("b.c")).alias("cosine"), F.greatest("in_run", "in_lines").alias("matched_words")
@@ -248,10 +259,9 @@ def folder(path: Column) -> Column:
 
 
 def ancestors(folder_: Column) -> Column:
-    """The folder, its parent, and so on to the root, nearest first, with their depth."""
+    """The folder, its parent, and so on to the root, with their depth; the deepest is the nearest."""
     parts = F.when(folder_ == "", F.array().cast("array<string>")).otherwise(F.split(folder_, "/", -1))
-    top = F.least(F.size(parts), F.lit(DEPTH))
-    return F.transform(F.sequence(F.lit(0), top), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("dir")))
+    return F.transform(F.sequence(F.size(parts), F.lit(0)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("dir")))
 
 
 def scan(files: DataFrame, keys: list[str]) -> DataFrame:
@@ -262,17 +272,18 @@ def scan(files: DataFrame, keys: list[str]) -> DataFrame:
     source = files.select(*keys, F.coalesce("path", F.lit("")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
     # Rows are told apart by path and text: equal ones have equal results.
     named = source.withColumn("file", F.struct(F.xxhash64("path", "text").alias("a"), F.xxhash64(F.lit(1), "text", "path").alias("b")))
-    own = stored(own_licenses(named.select("file", "text").where(F.col("text") != "")), "licence-own")
-    n_words = F.size(F.split(F.trim("text"), r"\s+", -1))
-    base = named.join(own, "file", "left").select(*keys, "path", "own_license", "cosine", F.coalesce((F.element_at(F.split("path", "/", -1), -1).rlike(FILE_NAMES)) & F.col("own_license").isNotNull() | (2 * F.col("matched_words") >= n_words), F.lit(False)).alias("is_license_file"))
-    base = stored(base, "licence-files")
-    pick = F.min(F.struct((-F.col("cosine")).alias("c"), F.col("own_license").alias("l"))).alias("b")
-    given = stored(base.where("is_license_file").groupBy(folder(F.col("path")).alias("dir")).agg(pick).select("dir", F.col("b.l").alias("dir_license")), "licence-folders")
-    # Folders, not files, look for their ancestors: each distinct folder once.
-    dirs = base.select(folder(F.col("path")).alias("of")).distinct()
-    above = dirs.select("of", F.inline(ancestors(F.col("of"))))
-    nearest = above.join(given, "dir").groupBy("of").agg(F.max(F.struct("depth", "dir", "dir_license")).alias("n")).select("of", F.col("n.dir").alias("from"), F.col("n.dir_license").alias("dir_license"))
-    nearest = stored(nearest, "licence-nearest")
+    with scratch(files.sparkSession) as put:
+        own = put(own_licenses(named.select("file", "text").where(F.col("text") != ""), put), "licence-own")
+        n_words = F.size(F.split(F.trim("text"), r"\s+", -1))
+        base = named.join(own, "file", "left").select(*keys, "path", "own_license", "cosine", F.coalesce((F.element_at(F.split("path", "/", -1), -1).rlike(FILE_NAMES)) & F.col("own_license").isNotNull() | (2 * F.col("matched_words") >= n_words), F.lit(False)).alias("is_license_file"))
+        base = stored(base, "licence-files")
+        pick = F.min(F.struct((-F.col("cosine")).alias("c"), F.col("own_license").alias("l"))).alias("b")
+        given = put(base.where("is_license_file").groupBy(folder(F.col("path")).alias("dir")).agg(pick).select("dir", F.col("b.l").alias("dir_license")), "licence-folders")
+        # Folders, not files, look for their ancestors: each distinct folder once.
+        dirs = base.select(folder(F.col("path")).alias("of")).distinct()
+        above = dirs.select("of", F.inline(ancestors(F.col("of"))))
+        nearest = above.join(given, "dir").groupBy("of").agg(F.max(F.struct("depth", "dir", "dir_license")).alias("n")).select("of", F.col("n.dir").alias("from"), F.col("n.dir_license").alias("dir_license"))
+        nearest = stored(nearest, "licence-nearest")
     at = base.withColumn("of", folder(F.col("path")))
     if nearest.count() <= BROADCAST_ROWS:
         met = at.join(F.broadcast(nearest), "of", "left")
