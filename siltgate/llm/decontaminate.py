@@ -16,12 +16,14 @@ words is within ``1 - SIMILARITY`` of the item's length in word edits (insert, d
    of g words whole, at places that shift by at most k, and every run with so many is a candidate: nothing is lost.
 4. Candidates are verified by the exact edit distance of the item to any run around the window.
 
-Items are read in blocks of ``ITEM_BLOCK`` (a stated query set against all rows); a block's words and grams are
-what workers hold. Work is linear in the text, whatever the number of copies or the length of a document.
+Items are read in blocks of ``ITEM_BLOCK`` items or ``BLOCK_BYTES`` of text (a stated query set against all rows); a
+block's words and grams are what workers hold. Work is linear in the text, whatever the number of copies or the length of a document.
 
 Defined results: null and empty texts contain nothing; items with fewer than MIN_WORDS words are matched as
-whole runs without edits; empty items match nothing; repeated documents or items are each reported; extra
-columns are not read by :func:`matches` and are passed on by :func:`keep_clean`.
+whole runs without edits; empty items match nothing; of several runs that match an item the least edits are reported,
+once; repeated documents or items are each reported; very long texts are searched whole, in a slice of their own;
+without documents or items nothing is found; extra columns are not read by :func:`matches` and are passed on by
+:func:`keep_clean`.
 """
 
 from __future__ import annotations
@@ -51,8 +53,9 @@ MIN_WORDS = 8
 SAMPLED, RECALL, REPEATS = 3, 0.99, 64
 #: Edited copies that the repetitions are sized on, and item lengths that are sized together (as the longest of them).
 TRIED, LENGTHS = 200, 8
-#: Items that a pass over the documents compares with.
-ITEM_BLOCK = 20_000
+#: Items that a pass over the documents compares with, and bytes of their texts: either ends a block, so that what is
+#: broadcast has a bound (a longer item is a block of its own).
+ITEM_BLOCK, BLOCK_BYTES = 20_000, 8 << 20
 #: Window cells (windows by words) that are embedded or verified at a time.
 CELLS = 1 << 19
 #: Bytes of text that are searched at a time: the walks of a slice's few windows share their steps.
@@ -327,12 +330,14 @@ class Items:
 
 def blocks(benchmark: DataFrame, similarity: float = SIMILARITY, size: int = ITEM_BLOCK) -> Iterator[Items]:
     """The items, block by block in order of their id; the driver holds one block at a time."""
-    block: list = []
+    block, held = [], 0
     for row in benchmark.select("item_id", "text").where(F.col("text").isNotNull()).orderBy("item_id", "text").toLocalIterator():
-        block.append(row)
-        if len(block) == size:
+        more = len(row[1].encode())
+        if block and (len(block) == size or held + more > BLOCK_BYTES):
             yield Items.of([r[0] for r in block], [r[1] for r in block], similarity)
-            block = []
+            block, held = [], 0
+        block.append(row)
+        held += more
     if block:
         yield Items.of([r[0] for r in block], [r[1] for r in block], similarity)
 
