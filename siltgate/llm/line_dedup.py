@@ -4,13 +4,14 @@ Lines are exploded and normalised to keys (white space stripped at both ends, A-
 to 128 bits, distinct documents are counted per hash, lines whose key is in at least ``min_docs`` documents are
 dropped, and the rest is put together again by position.
 
-Counting moves hashes and positions only; texts move once, to meet their document's dropped positions. A line in a third of all documents is one row per document and partition
-after the first combining, counted in two steps, and its join is by broadcast when the counted shared keys are
-within ``BROADCAST_ROWS``, else salted.
-
-Defined results: null and empty texts are one empty line; keys shorter than ``min_chars`` code points are never
-dropped; repeated rows with one id count as one document and each get a row; rows with a null id count as one
-document together; extra columns are not read by :func:`drop_shared_lines` and clash with nothing.
+Counting moves hashes and positions only; texts move once, to meet their document's dropped positions. A line in a
+third of all documents is one row per document and partition after the first combining, counted in two steps, and its
+join is by broadcast when the counted shared keys are within ``BROADCAST_ROWS``, else salted.
+
+Defined results: null and empty texts are one empty line; very long texts are split whole; keys shorter than
+``min_chars`` code points are never dropped; a key in exactly ``min_docs`` documents is; repeated rows with one id count
+as one document and each get a row; rows with a null id count as one document together; an empty table gives an empty
+result; extra columns are not read by :func:`drop_shared_lines` and clash with nothing.
 """
 
 from __future__ import annotations

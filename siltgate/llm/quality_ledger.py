@@ -4,8 +4,10 @@ Every rule is evaluated once per text; the ledger keeps the measurements and one
 is a versioned set of bits: applying it, or asking what a policy without one of its rules would keep, is
 arithmetic on the stored mask and never looks at a text again.
 
-Defined results: a null or empty text has no words and fails the length rule; repeated rows each have a ledger
-row; columns of the table other than id and text are not read; an empty table gives an empty ledger.
+Defined results: a null or empty text has no words and fails the length rule; very long texts are measured whole;
+a count that equals its limit does not fail (rules compare integers, so there are no other ties); repeated rows each
+have a ledger row; columns of the table other than id and text are not read; an empty table gives an empty ledger
+and no ablations.
 """
 
 from __future__ import annotations
