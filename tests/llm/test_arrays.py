@@ -71,9 +71,9 @@ def test_plain_words_split_punctuation():
 def test_simple8b_round_trip(ids, block):
     ids = np.array(ids, np.uint64)
     words, off = simple8b.encode(ids, block)
-    assert (simple8b.decode(words) == ids).all()
+    assert (simple8b.decode(words, off, block) == ids).all()
     for i in range(len(off) - 1):
-        assert (simple8b.decode(words[off[i] : off[i + 1]]) == ids[i * block : (i + 1) * block]).all()
+        assert (simple8b.decode(words, off[i : i + 2], block) == ids[i * block : (i + 1) * block]).all()
 
 
 def test_simple8b_packs():
