@@ -44,6 +44,8 @@ RADIUS = 2
 TREE = 8_192
 #: Fingerprints, counted once for each work item that they are in, that a Python worker has at a time, about.
 GROUP_ROWS = 40_000
+#: Shingles that are hashed at a time.
+HASHED = 1 << 17
 
 
 def shingle_hashes(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,8 +64,11 @@ def shingle_hashes(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray
     place = np.concatenate([[0], np.cumsum(lengths + 1)])
     joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(word)], pa.int32()), word.cast(pa.string())), " ")[0].as_buffer()
     view, hashed = memoryview(joined), xxhash.xxh64_intdigest
-    found = [hashed(view[a:b], SEED) for a, b in zip(place[start].tolist(), (place[end] - 1).tolist(), strict=True)]
-    return np.array(found, np.uint64), off
+    first, last, out = place[start], place[end] - 1, np.empty(len(start), np.uint64)
+    # A piece at a time: as Python numbers places take ten times the room.
+    for x in range(0, len(out), HASHED):
+        out[x : x + HASHED] = [hashed(view[a:b], SEED) for a, b in zip(first[x : x + HASHED].tolist(), last[x : x + HASHED].tolist(), strict=True)]
+    return out, off
 
 
 def majority(hashes: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -142,7 +147,7 @@ class BKForest:
 
 
 #: Pairs that are checked at a time; pairs whose ends are already in one group need no check.
-CHECKED = 20_000
+CHECKED = 5_000
 
 
 def _roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], holds: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
