@@ -13,8 +13,10 @@ from siltgate.functions import text as rewritings
 from siltgate.operators import detectors, egress, semantic, verdicts
 from siltgate.operators.similarity import similarity_hits
 from siltgate.schema import ALERT, HITS, UNIT, VARIANT, empty
-from siltgate.sources.units import call_of, canonical_json, redact_json, text_units
+from siltgate.sources.units import call_of, canonical_json, redact_python, text_units
 
+#: Redactions of one text that are made in the JVM, at most.
+MANY_PAIRS = 32
 REQUEST = "req_id string, injection_point string, content_kind string, content string, session_window array<string>"
 NOTES = {
     "l3_off": "L3 skipped: no recognisers were run, this is no true pass",
@@ -23,6 +25,7 @@ NOTES = {
     "l3_partial": "L3 skipped: some languages failed, this is no true pass",
     "l37_down": "L3.7 skipped: no similarity results",
     "channel": "channel policy, not content",
+    "unread": "the message could not be read as JSON, it was scanned as a text",
     "no_effect": "redaction changed nothing: the matches are not literally in the text",
     "l4_async": "L4 was not run in step",
     "l4_block": "L4 blocked in step",
@@ -61,7 +64,7 @@ def _with_units(df: DataFrame) -> DataFrame:
     units = F.when(is_call, F.col("call.units")).otherwise(text_units(F.col("content"))).cast(f"array<{UNIT}>")
     windowed = ~is_call & (F.size(F.coalesce("session_window", empty("array<string>"))) > 0)
     joined = F.concat(F.array_join("session_window", ""), F.coalesce("content", F.lit("")))
-    ready = called.withColumn("units", units).withColumn("windowed", F.coalesce(windowed, F.lit(False))).drop("call")
+    ready = called.withColumn("units", units).withColumn("windowed", F.coalesce(windowed, F.lit(False))).withColumn("unread", F.coalesce("call.unread", F.lit(False))).drop("call")
     texts = F.concat(F.transform("units", lambda u: u["text"]), F.when(F.col("windowed"), F.array(joined)).otherwise(empty("array<string>")))
     return once(ready, "forms", rewritings.prepare(texts))
 
@@ -143,10 +146,11 @@ def scan(df: DataFrame, cfg: ScanConfig | None = None) -> DataFrame:
     pairs = built(lambda: F.when(verdicts.verdict(F.col("first")) == "redact", verdicts.redaction_pairs(F.col("first"), cfg.mask)), "pairs", cfg.mask)
     rows = once(rows, "pairs", pairs)
     is_call = F.col("content_kind") == "mcp_call"
-    in_text = verdicts.redact_text(F.coalesce("content", F.lit("")), F.col("pairs"))
-    in_call = F.when(is_call, F.col("content"))
-    in_call = redact_json(F.when(F.col("pairs").isNotNull(), in_call), F.col("pairs"))
-    rows = once(rows, "redacted", F.when(F.col("pairs").isNotNull(), F.when(is_call, in_call).otherwise(in_text)))
+    # A text with few pairs is redacted in place; with many, each would copy the text once more than Python does.
+    python = is_call | (F.size("pairs") > MANY_PAIRS)
+    text = F.coalesce("content", F.lit(""))
+    in_python = redact_python(F.when(F.col("pairs").isNotNull() & python, text), F.col("pairs"), is_call)
+    rows = once(rows, "redacted", F.when(F.col("pairs").isNotNull(), F.when(python, in_python).otherwise(verdicts.redact_text(text, F.col("pairs")))))
     rows = rows.withColumn("as_it_was", F.when(F.col("pairs").isNotNull() & is_call, canonical_json(F.when(F.col("pairs").isNotNull() & is_call, F.col("content")))).otherwise(F.col("content")))
     if cfg.semantic and cfg.semantic_blocks:
         rows = rows.withColumn("promoted", semantic.promoted(F.col("alerts"), cfg.semantic_min_confidence))
@@ -156,6 +160,7 @@ def scan(df: DataFrame, cfg: ScanConfig | None = None) -> DataFrame:
     rows = rows.withColumn("verdict", verdicts.verdict(F.col("hits"))).withColumn("top_layer", verdicts.top_layer(F.col("hits")))
     l3_note = _l3_note(cfg)
     notes = F.array_compact(F.array(
+        F.when(F.col("unread"), NOTES["unread"]),
         F.when(F.size("channel") > 0, NOTES["channel"]),
         l3_note,
         F.when(F.col("similar").isNull(), NOTES["l37_down"]) if cfg.similarity else F.lit(None),
