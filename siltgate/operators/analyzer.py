@@ -26,12 +26,12 @@ def _pieces(text: str, cfg: ScanConfig) -> list[str]:
 
 
 def _ask(client: Client, piece: str, cfg: ScanConfig) -> tuple[str, list[dict]]:
-    """Results of all languages that answer, and whether all, some or none did."""
+    """Results of all languages that answer, and whether all, some or none did. Whatever a client raises is no answer."""
     got, failed = [], 0
     for lang in cfg.languages:
         try:
             got += [{"lang": lang, "entity_type": str(r.get("entity_type", "")), "start": int(r.get("start", -1)), "end": int(r.get("end", -1)), "score": float(r.get("score", 0.0))} for r in client(piece, lang, cfg.l3_timeout_s)]
-        except (OSError, ValueError):
+        except Exception:
             failed += 1
     return ("ok" if not failed else "unreachable" if failed == len(cfg.languages) else "partial"), got
 
@@ -44,21 +44,33 @@ def with_results(df: DataFrame, client: Client, cfg: ScanConfig | None = None, t
     cfg = cfg or ScanConfig(l3="results")
     schema = T.StructType([*df.schema.fields, T.StructField("l3_results", ANALYSED)])
 
-    def message(pool: ThreadPoolExecutor, texts) -> list[dict]:
+    def message(pool: ThreadPoolExecutor, texts) -> tuple[list[dict], bool]:
+        """Results by piece, and whether calls are left that did not end in time."""
         began, asked = time.monotonic(), []
         for t in dict.fromkeys([] if texts is None else list(texts)):
             asked += [(p, pool.submit(_ask, client, p, cfg)) for p in _pieces(t, cfg)]
         wait([f for _, f in asked], timeout=max(0.0, cfg.l3_budget_s - (time.monotonic() - began)))
-        out = []
+        out, hung = [], False
         for piece, future in asked:
             status, results = future.result() if future.done() else ("late", [])
-            future.cancel()
+            hung |= not future.done() and not future.cancel()
             out.append({"text": piece, "status": status, "results": results})
-        return out
+        return out, hung
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(cfg.l3_concurrency) as pool:
+        pool = ThreadPoolExecutor(cfg.l3_concurrency)
+        try:
             for frame in frames:
-                yield frame.assign(l3_results=[message(pool, t) for t in frame[texts_column]])
+                found = []
+                for texts in frame[texts_column]:
+                    results, hung = message(pool, texts)
+                    found.append(results)
+                    if hung:
+                        # Calls that hang keep their threads: later messages get a pool of their own.
+                        pool.shutdown(wait=False, cancel_futures=True)
+                        pool = ThreadPoolExecutor(cfg.l3_concurrency)
+                yield frame.assign(l3_results=found)
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
 
     return df.mapInPandas(run, schema)

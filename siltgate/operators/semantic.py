@@ -31,13 +31,11 @@ def _alert(category: Column | str, confidence: Column | float, reason: Column |
 
 def heuristic_alert(text: Column) -> Column:
     """Business words with the shape of own logic, else marks of internal origin; generic algorithms raise nothing."""
-    business = text.rlike(BUSINESS)
-    return F.when(
-        ~text.rlike(GENERIC) | business,
-        F.when(business & text.rlike(LOGIC), _alert("proprietary-business-logic", 0.7, "business terms with the shape of own logic", text, "heuristic:offline")).when(
-            text.rlike(DISGUISE), _alert("proprietary-source", 0.6, "marks of internal origin", text, "heuristic:offline")
-        ),
-    )
+    logic = _alert("proprietary-business-logic", 0.7, "business terms with the shape of own logic", text, "heuristic:offline")
+    origin = _alert("proprietary-source", 0.6, "marks of internal origin", text, "heuristic:offline")
+    # Few texts have a business word or a mark: the other patterns are asked for these only.
+    inward = text.rlike(DISGUISE)
+    return F.when(text.rlike(BUSINESS), F.when(text.rlike(LOGIC), logic).when(inward, origin)).when(inward, F.when(~text.rlike(GENERIC), origin))
 
 
 def reply_alert(reply: Column, text: Column, model: str) -> Column:
@@ -53,13 +51,13 @@ def alerts(text: Column, reply: Column | None = None, model: str = "model") -> C
 
 
 def with_replies(df: DataFrame, client: Callable[[str], str | None], text_column: str = "content") -> DataFrame:
-    """``df`` with ``l4_reply``: what the client says of the first MODEL_CHARS of each text; failures are null."""
+    """``df`` with ``l4_reply``: what the client says of the first MODEL_CHARS of each text; whatever it raises is null."""
     schema = T.StructType([*df.schema.fields, T.StructField("l4_reply", T.StringType())])
 
     def ask(text: str | None) -> str | None:
         try:
             return client((text or "")[:MODEL_CHARS])
-        except (OSError, ValueError):
+        except Exception:
             return None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
