@@ -7,23 +7,37 @@ from pyspark.sql import functions as F
 
 from siltgate.schema import SPANS, empty
 
+#: Matches whose places are summed up together.
+ROOT = 256
+
 
 def find_all(text: Column, pattern: str, group: int = 0) -> Column:
     """Half-open places in code points. A ``group`` must stand at the end of the match: its place is counted from there.
 
-    The text is cut at its matches; places are running sums of the lengths of gaps and matches.
+    The text is cut at its matches; places are running sums of the lengths of gaps and matches. Sums run over blocks of
+    ROOT matches first and then within a block, so that no array is copied for every match.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(F.length(g).alias("gap"), m.alias("tok")))
+    steps = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m).alias("n"), m.alias("tok")))
+    none = F.array().cast("array<int>")
+
+    def running(start: Column, some: Column) -> Column:
+        """The running sums of gaps and matches from ``start`` on, one for each step."""
+        return F.aggregate(some, F.struct(start.alias("at"), none.alias("out")), lambda s, x: F.struct((s["at"] + x["gap"] + x["n"]).alias("at"), F.concat(s["out"], F.array(s["at"] + x["gap"] + x["n"])).alias("out")), lambda s: s["out"])
+
+    def placed(some: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(some) - 1) / ROOT).cast("int")), lambda b: F.slice(some, b * ROOT + 1, F.lit(ROOT)))
+
+        def by_block(cut: Column) -> Column:
+            sums = F.transform(cut, lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x["gap"] + x["n"]).alias("n"))
+            starts = F.aggregate(sums, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+            ends = F.flatten(F.zip_with(starts, cut, running))
+            return F.zip_with(some, ends, lambda x, e: F.struct((e - x["n"]).alias("start"), e.alias("end"), x["tok"].alias("tok")))
 
-    def add(state: Column, step: Column) -> Column:
-        start = state["at"] + step["gap"]
-        end = start + F.length(step["tok"])
-        one = F.struct(start.alias("start"), end.alias("end"), step["tok"].alias("tok"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+        return F.element_at(F.transform(F.array(blocks), by_block), 1)
 
-    spans = F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty(SPANS).alias("out")), add, lambda s: s["out"])
+    spans = F.element_at(F.transform(F.array(steps), placed), 1)
     if group:
         inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
         spans = F.zip_with(spans, inner, lambda s, g: F.struct((s["end"] - F.length(g)).alias("start"), s["end"].alias("end"), g.alias("tok")))

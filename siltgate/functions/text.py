@@ -32,13 +32,15 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 ROTATED = ALPHABET[13:26] + ALPHABET[:13] + ALPHABET[39:] + ALPHABET[26:39]
 PRINTABLE_HEX = "(?:09|0A|0D|[2-6][0-9A-F]|7[0-9A-E])+"
 
+_IN_TABLE = re.compile(f"[{ZERO_WIDTH}{CN_DIGITS}]")
 _TABLE = {ord(c): None for c in ZERO_WIDTH} | {ord(c): d for c, d in zip(CN_DIGITS, ASCII_DIGITS, strict=True)}
 PREPARED = T.StructType([T.StructField("norm", T.StringType()), T.StructField("folded", T.StringType())])
 
 
 def normal_form(text: str) -> str:
     """Compatibility composition, without invisible characters, Chinese digits as ASCII."""
-    return unicodedata.normalize("NFKC", text).translate(_TABLE)
+    text = unicodedata.normalize("NFKC", text)
+    return text.translate(_TABLE) if _IN_TABLE.search(text) else text
 
 
 def folded(text: str) -> str | None:
@@ -59,11 +61,12 @@ def folded(text: str) -> str | None:
 
 @F.arrow_udf(T.ArrayType(PREPARED))
 def prepared(texts: pa.Array) -> pa.Array:
-    """Normal form and folding of each text of each array; null arrays stay null."""
+    """Normal form and folding of each text of each array; null arrays stay null. A normal form that is the text itself is
+    null, so that it does not travel."""
     out = []
     for row in texts.to_pylist():
-        forms = None if row is None else [normal_form(t or "") for t in row]
-        out.append(None if forms is None else [{"norm": n, "folded": folded(n)} for n in forms])
+        forms = None if row is None else [(t or "", normal_form(t or "")) for t in row]
+        out.append(None if forms is None else [{"norm": None if n == t else n, "folded": folded(n)} for t, n in forms])
     return pa.array(out, to_arrow_type(T.ArrayType(PREPARED)))
 
 
@@ -71,7 +74,8 @@ def prepare(texts: Column) -> Column:
     """Normal form and folding of an array of texts. Only rows with a non-ASCII character or a quote go to Python."""
     needs = F.exists(texts, lambda t: t.rlike(r"[^\x00-\x7F]|[\"']"))
     plain = F.transform(texts, lambda t: F.struct(F.coalesce(t, F.lit("")).alias("norm"), F.lit(None).cast("string").alias("folded")))
-    return F.coalesce(prepared(F.when(needs, texts)), plain)
+    made = prepared(F.when(needs, texts))
+    return F.coalesce(F.zip_with(made, texts, lambda f, t: F.struct(F.coalesce(f["norm"], t, F.lit("")).alias("norm"), f["folded"].alias("folded"))), plain)
 
 
 def strip_separators(text: Column) -> Column:

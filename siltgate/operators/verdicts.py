@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siltgate.schema import HITS, LAYERS, REDACT, VERDICTS, empty
+from siltgate.schema import LAYERS, REDACT, VERDICTS, empty
 
 PAIRS = "array<struct<matched:string,mask:string>>"
 
@@ -14,20 +14,23 @@ def _key(h: Column) -> Column:
     return F.struct(h["rule"], h["span_start"], h["span_end"], h["field_path"], h["entity"])
 
 
-def drop_rotated(hits: Column) -> Column:
-    """Hits in a rotated text count only if they block."""
-    return F.filter(hits, lambda h: (h["source"] != "decoded:rot13") | (h["action"] == "block"))
-
-
 def dedup(hits: Column) -> Column:
-    """One hit for each rule, span, path and entity, at the place of the first: the surest, the first of equals."""
+    """One hit for each rule, span, path and entity, at the place of the first: the surest, the first of equals.
 
-    def best(key: Column) -> Column:
-        same = F.filter(hits, lambda h: _key(h).eqNullSafe(key))
-        return F.aggregate(F.slice(same, 2, F.greatest(F.size(same) - 1, F.lit(0))), F.element_at(same, 1), lambda a, h: F.when(h["confidence"] > a["confidence"], h).otherwise(a))
+    Hits are sorted by key, surest and earliest first; where the key changes, its best hit begins. Another sort brings
+    these back to the places of their keys. The cost is that of sorting.
+    """
+    by = F.transform(hits, lambda h, i: F.struct(_key(h).alias("key"), (-h["confidence"]).alias("sure"), i.alias("at")))
+    firsts = F.array_sort(F.transform(hits, lambda h, i: F.struct(_key(h).alias("key"), i.alias("at"))))
 
-    many = F.transform(F.array_distinct(F.transform(hits, _key)), best)
-    return F.when(F.size(hits) > 1, many).otherwise(hits)
+    def heads(ordered: Column) -> Column:
+        return F.filter(ordered, lambda x, i: (i == 0) | ~F.get(ordered, i - 1)["key"].eqNullSafe(x["key"]))
+
+    # Both lists have the same keys in the same order: the key's first place beside its best hit's.
+    places = lambda ordered: F.transform(heads(ordered), lambda x: x["at"])
+    bound = lambda ordered: F.element_at(F.transform(F.array(ordered), places), 1)
+    pairs = F.array_sort(F.zip_with(bound(firsts), bound(F.array_sort(by)), lambda first, best: F.struct(first.alias("first"), best.alias("best"))))
+    return F.when(F.size(hits) > 1, F.transform(pairs, lambda p: F.get(hits, p["best"]))).otherwise(hits)
 
 
 def verdict(hits: Column) -> Column:
@@ -44,20 +47,26 @@ def top_layer(hits: Column) -> Column:
 def redaction_pairs(hits: Column, mask: str) -> Column:
     """What to replace by what, longest first, then in the order of first mention; the last hit of a text gives its mask."""
     red = F.filter(hits, lambda h: (h["action"] == REDACT) & (F.coalesce(h["matched"], F.lit("")) != ""))
-    texts = F.array_distinct(F.transform(red, lambda h: h["matched"]))
 
-    def pair(text: Column, at: Column) -> Column:
-        last = F.element_at(F.filter(red, lambda h: h["matched"] == text), -1)
-        return F.struct((-F.length(text)).alias("long"), at.alias("at"), text.alias("matched"), F.replace(F.lit(mask), F.lit("{entity}"), last["entity"]).alias("mask"))
+    def runs(ordered: Column) -> Column:
+        """Of mentions sorted by (text, place) the first of each text, with the entity of the last."""
+        n = F.size(ordered)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(ordered, i - 1)["matched"] != F.get(ordered, i)["matched"]))
+
+        def pairs_of(s: Column) -> Column:
+            def pair(i: Column, k: Column) -> Column:
+                first, last = F.get(ordered, i), F.get(ordered, F.coalesce(F.get(s, k + 1), n) - 1)
+                return F.struct((-F.length(first["matched"])).alias("long"), first["at"].alias("at"), first["matched"].alias("matched"), F.replace(F.lit(mask), F.lit("{entity}"), last["entity"]).alias("mask"))
 
-    ordered = F.array_sort(F.transform(texts, pair))
+            return F.array_sort(F.transform(s, pair))
+
+        return F.element_at(F.transform(F.array(starts), pairs_of), 1)
+
+    mentions = F.array_sort(F.transform(red, lambda h, i: F.struct(h["matched"].alias("matched"), i.alias("at"), h["entity"].alias("entity"))))
+    ordered = F.element_at(F.transform(F.array(mentions), runs), 1)
     return F.when(F.size(red) > 0, F.transform(ordered, lambda p: F.struct(p["matched"].alias("matched"), p["mask"].alias("mask")))).otherwise(empty(PAIRS))
 
 
 def redact_text(text: Column, pairs: Column) -> Column:
     """Every occurrence of every matched text replaced, one pair after the other."""
     return F.aggregate(pairs, text, lambda t, p: F.replace(t, p["matched"], p["mask"]))
-
-
-def actions(hits: Column) -> Column:
-    return F.coalesce(hits, empty(HITS))
