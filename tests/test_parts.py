@@ -138,6 +138,30 @@ def test_leaves_and_json_redaction():
     assert out["a"]["origin"] == "no" and out["a"]["c"][0] == "Y" and json.loads(json.dumps(out))["conversationState"] == {"history": "no"}
 
 
+def test_hostile_json_gives_a_row_for_every_message(spark):
+    """Nesting beyond the parser, halves of surrogate pairs, numbers too long, no JSON: each message has a verdict, some a note."""
+    key = "AKIA" + "Q7" * 8
+    contents = {
+        "deep": "[" * 100_000 + key, "balanced": "[" * 30_000 + f'"{key}"' + "]" * 30_000, "half": '{"tool":"t","arguments":{"a\\ud800":"x\\udc00 mail a@realcorp.io"}}',
+        "pair": '{"tool":"t","arguments":{"a":"\\ud83d\\ude00 a@realcorp.io"}}', "long": "9" * 10_000, "none": "no json a@realcorp.io", "empty": "", "null": None,
+    }
+    df = spark.createDataFrame([(k, "mcp", "mcp_call", v, None) for k, v in contents.items()], REQUEST)
+    got = {r.req_id: r for r in scan(df, ScanConfig(l3="off")).collect()}
+    assert {k: r.verdict for k, r in got.items()} == {"deep": "block", "balanced": "block", "half": "redact", "pair": "redact", "long": "pass", "none": "redact", "empty": "pass", "null": "pass"}
+    assert {k for k, r in got.items() if any("JSON" in n for n in r.notes)} == {"deep", "balanced", "long", "none", "empty"}
+    assert json.loads(got["half"].redacted_text)["arguments"] == {"a\ufffd": "x\ufffd mail [REDACTED:EMAIL]"} or "[REDACTED:EMAIL]" in got["half"].redacted_text
+    assert json.loads(got["pair"].redacted_text)["arguments"] == {"a": "😀 [REDACTED:EMAIL]"}
+
+
+def test_many_hits_in_one_text(spark):
+    """Places, deduplication and redaction of thousands of hits."""
+    text = " ".join(f"u{i % 900}@corp{i % 900}.io" for i in range(3000))
+    got = scan(spark.createDataFrame([("a", "prompt", "text", text, None)], REQUEST), ScanConfig(l3="off")).first()
+    want = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+    assert [(h.span_start, h.span_end) for h in got.hits if h.source == "raw"] == want
+    assert got.redacted_text == re.sub(r"\S+", "[REDACTED:EMAIL]", text)
+
+
 def test_variants_are_labelled_and_distinct(spark):
     df = spark.createDataFrame([("a", "prompt", "text", "Key ＡＢ-CD ef.gh", ["h1", "h2"]), ("b", "prompt", "text", "a", None)], REQUEST)
     got = {r.req_id: [(v.source, v.text) for v in r.variants] for r in with_variants(df).collect()}
@@ -152,7 +176,7 @@ def test_variants_are_labelled_and_distinct(spark):
 def test_analyzer_results_statuses_and_weak_entities(spark):
     def client(text, lang, timeout):
         if "down" in text or ("half" in text and lang == "zh"):
-            raise OSError("no analyzer")
+            raise (KeyError if "half" in text else OSError)("no analyzer")
         out = []
         for entity, word, score in (("PERSON", "Li Ming", 0.85), ("EMAIL_ADDRESS", "li@realcorp.io", 1.0), ("PERSON", "Guido", 0.9), ("UNKNOWN", "zzz", 1.0), ("LOCATION", "Area 51", 0.85), ("PHONE_NUMBER", "555", 0.4)):
             at = text.find(word)
@@ -184,6 +208,22 @@ def test_analyzer_budget(spark):
     assert "time budget" in got.notes[0]
 
 
+def test_a_hanging_analyzer_keeps_no_later_message_waiting(spark):
+    import time
+
+    def client(text, lang, timeout):
+        if text.startswith("hang"):
+            time.sleep(4)
+        return []
+
+    cfg = ScanConfig(l3="results", l3_budget_s=0.3, l3_concurrency=2)
+    rows = [(f"h{i}", "prompt", "text", "x", None, [f"hang {i} {k}" for k in range(3)]) for i in range(3)] + [("ok", "prompt", "text", "x", None, ["fine"])]
+    df = spark.createDataFrame(rows, REQUEST + ", l3_texts array<string>").coalesce(1)
+    began = time.time()
+    got = {r.req_id: [x.status for x in r.l3_results] for r in analyzer.with_results(df, client, cfg).collect()}
+    assert got["ok"] == ["ok"] and set(got["h0"]) == {"late"} and time.time() - began < 20
+
+
 # ---- Semantic alerts ----
 
 
@@ -241,13 +281,33 @@ def test_curves_by_hand(spark):
     assert (empty.low, empty.high, empty.accuracy) == (0.0, 1.0, None)
 
 
+def test_quantiles_are_values_at_places(spark):
+    """Ties, one value, infinite ranges, integers and a null group against sorting."""
+    rng = random.Random(4)
+    rows = [("a", rng.gauss(0, 9)) for _ in range(700)] + [("b", 3.0)] * 9 + [("c", float(i % 4)) for i in range(50)] + [(None, 1.5), (None, -2.5), ("d", None)] + [("e", x) for x in (1e308, -1e308, 5.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for k in (0.0, 0.5, 0.95, 1.0):
+        want = {}
+        for g in {g for g, _ in rows}:
+            own = sorted(v for x, v in rows if x == g and v is not None)
+            if own:
+                want[g] = (own[min(len(own) - 1, int(len(own) * k))], len(own))
+        assert {r.g: (r.quantile, r.n) for r in evaluate.index_quantile(df, "g", "v", k).collect()} == want
+
+
 # ---- Files and streams ----
 
 
 def test_files_round_trip(spark, tmp_path):
     (tmp_path / "corpus.jsonl").write_text('{"doc_id":"a","chunk_id":"1","text":"t"}\n{"text":"u"}\n')
     got = files.read_corpus(spark, str(tmp_path / "corpus.jsonl")).orderBy("text").collect()
-    assert got[0].doc_id == "a" and got[1].doc_id.startswith("d") and got[1].chunk_id == "0"
+    assert [(r.doc_id, r.chunk_id) for r in got] == [("a", "1"), ("d1", "0")]
+    (tmp_path / "many.jsonl").write_text("".join(json.dumps({"text": f"t{i}"} | ({"doc_id": "x"} if i % 5 == 0 else {})) + "\n" + "\n" * (i % 3) for i in range(5000)))
+    whole = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(whole, "16k")
+    named = {r.text: r.doc_id for r in files.read_corpus(spark, str(tmp_path / "many.jsonl")).collect()}
+    spark.conf.unset(whole)
+    assert named == {f"t{i}": "x" if i % 5 == 0 else f"d{i}" for i in range(5000)}
     (tmp_path / "eval.jsonl").write_text('{"id":"1","label":1,"src_doc":"a","rewrite_level":"mixed","text":"t"}\n\n')
     assert files.read_evaluation(spark, str(tmp_path / "eval.jsonl")).count() == 1
     cases = [{"id": "S1", "suite": 1, "injection_point": "prompt", "content": "key " + "AKIA" + "Q7" * 8, "content_kind": "text", "session_window": None, "expected": {"verdict": "block", "top_layer": "L0", "must_hit": [{"entity": "AWS_ACCESS_KEY", "action": "block"}], "must_not_hit": []}}, {"id": "S2", "suite": 4, "injection_point": "mcp", "content": {"tool": "t", "arguments": {"a": "b"}}, "content_kind": "mcp_call", "session_window": ["x"], "expected": {"verdict": "pass", "top_layer": None, "must_hit": [], "must_not_hit": [{"entity": "EMAIL"}]}}]
@@ -261,7 +321,8 @@ def test_files_round_trip(spark, tmp_path):
     files.write_rows(scanned, str(tmp_path / "rows"))
     files.write_safe(scanned, str(tmp_path / "safe"))
     files.write_alerts(scanned, str(tmp_path / "alerts"))
-    assert spark.read.parquet(str(tmp_path / "rows")).count() == 1
+    rows = {r.req_id: r for r in spark.read.parquet(str(tmp_path / "rows")).collect()}
+    assert rows["S1"].verdict == "block" and rows["S1"].hits[0].entity == "AWS_ACCESS_KEY" and rows["S2"].verdict == "pass" and rows["S2"].hits == [] and rows["S2"].notes
     assert not {"matched", "span_start", "span_end"} & set(spark.read.json(str(tmp_path / "safe")).columns)
     (tmp_path / "g" / "p1").mkdir(parents=True)
     (tmp_path / "g" / "p1" / "x.py").write_text("y" * 50)
