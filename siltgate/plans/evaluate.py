@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Z = 1.959964
+#: Parts that a large group is dealt to.
+SALT = 64
 
 
 def pr_curve(scored: DataFrame) -> DataFrame:
@@ -46,8 +48,20 @@ def operating_point(curve: DataFrame, recall: float = 1.0) -> DataFrame:
 
 
 def stratified(scored: DataFrame, level: str) -> DataFrame:
-    """Rows of either label and the sorted scores, by level."""
-    return scored.groupBy(level).agg(F.count_if(F.col("label") == 1).alias("label1"), F.count_if(F.col("label") == 0).alias("label0"), F.sort_array(F.collect_list(F.round("score", 4))).alias("scores"))
+    """Rows of either label and the sorted scores, by level.
+
+    Scores are counted before they meet by level, so a level's row has at most ten thousand (score, count) pairs; the
+    list of scores is these pairs written out.
+    """
+    counts = stratified_counts(scored, level)
+    scores = F.flatten(F.transform("counts", lambda c: F.array_repeat(c["score"], c["n"].cast("int"))))
+    return counts.select(level, "label1", "label0", scores.alias("scores"))
+
+
+def stratified_counts(scored: DataFrame, level: str) -> DataFrame:
+    """Rows of either label by level, and how often each score is there: what stands for the list where levels are large."""
+    one = scored.groupBy(level, F.round("score", 4).alias("score")).agg(F.count_if(F.col("label") == 1).alias("l1"), F.count_if(F.col("label") == 0).alias("l0"), F.count("*").alias("n"))
+    return one.groupBy(level).agg(F.sum("l1").alias("label1"), F.sum("l0").alias("label0"), F.sort_array(F.collect_list(F.struct("score", "n"))).alias("counts"))
 
 
 def wilson(k: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
@@ -69,17 +83,33 @@ def top1(results: DataFrame) -> DataFrame:
     return pos.select("n", "correct", F.when(F.col("n") > 0, F.col("correct") / F.col("n")).alias("accuracy"), low.alias("low"), high.alias("high"), F.when(perfect, 1 - 3 / F.col("n")).alias("at_least"))
 
 
+#: Ranges that a group's values are counted in.
+RANGES = 256
+
+
 def index_quantile(df: DataFrame, group: str, value: str, k: float) -> DataFrame:
     """The value at place min(n - 1, int(n * k)) of each group's sorted values: not interpolated.
 
-    Equal values are counted first, so what is sorted are a group's distinct values.
+    Each group's values are counted in RANGES ranges between its least and largest; only the values of the range that has
+    the place are sorted, and equal values are counted first. A group of a third of all rows is one row a range and task.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
-    up = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(group)
-    run = counts.select(group, value, F.sum("c").over(up).alias("upto"), F.sum("c").over(whole).alias("n"))
-    at = F.least(F.col("n") - 1, F.floor(F.col("n") * k))
-    return run.where(F.col("upto") > at).groupBy(group).agg(F.min(value).alias("quantile"), F.max("n").alias("n"))
+    some = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
+    ends = some.groupBy(F.col("g").alias("eg")).agg(F.min("v").cast("double").alias("low"), F.max("v").cast("double").alias("high"))
+    # Positions rise with values, whatever their type's rounding: equal positions only make a range larger.
+    share = F.try_divide(F.col("v").cast("double") - F.col("low"), F.col("high") - F.col("low"))
+    at = F.coalesce(F.least(F.floor(share * RANGES), F.lit(RANGES - 1)), F.lit(0)).cast("int")
+    # Without hints: where groups are few, the adaptive planner broadcasts them, and large ones need no dealing.
+    dealt = some.join(ends, F.col("g").eqNullSafe(F.col("eg"))).select("g", "v", at.alias("r"))
+    sizes = dealt.groupBy("g", "r").agg(F.count("*").alias("c"))
+    up = Window.partitionBy("g").orderBy("r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("g")
+    run = sizes.select("g", "r", "c", F.sum("c").over(up).alias("upto"), F.sum("c").over(whole).alias("n"))
+    place = F.least(F.col("n") - 1, F.floor(F.col("n") * k))
+    chosen = run.where((F.col("upto") > place) & (F.col("upto") - F.col("c") <= place)).select(F.col("g").alias("cg"), F.col("r").alias("cr"), (place - (F.col("upto") - F.col("c"))).alias("left"), "n")
+    inside = dealt.join(chosen, F.col("g").eqNullSafe(F.col("cg")) & (F.col("r") == F.col("cr"))).groupBy("g", "v", "left", "n").agg(F.count("*").alias("c"))
+    rising = Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = inside.select("g", "v", "left", "n", F.sum("c").over(rising).alias("upto")).where(F.col("upto") > F.col("left"))
+    return found.groupBy(F.col("g").alias(group)).agg(F.min("v").alias("quantile"), F.max("n").alias("n"))
 
 
 def check_expectations(verdicts: DataFrame, expected: DataFrame, key: str = "req_id") -> DataFrame:
@@ -115,13 +145,24 @@ def derive_evaluation(rows: DataFrame, group: str, key: str, groups: int, positi
     """
     sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
     top = sizes.orderBy(F.desc("n"), group).limit(groups).select(F.col(group).alias("g"))
-    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(key)))
-    in_top = ranked.join(F.broadcast(top), F.col(group) == F.col("g"), "left_semi").where(F.col("place") <= positives + 1)
-    chosen = in_top.select(key, group, F.when(F.col("place") == 1, "corpus").otherwise("positive").alias("kind"))
-    rest = ranked.join(F.broadcast(top), F.col(group) == F.col("g"), "left_anti").orderBy("place", group).limit(groups * positives)
+    in_top = rows.join(F.broadcast(top), F.col(group) == F.col("g"), "left_semi").select(key, group)
+    first = _first_rows(in_top, group, key, positives + 1)
+    chosen = first.select(key, group, F.when(F.col("place") == 1, "corpus").otherwise("positive").alias("kind"))
+    others = rows.join(F.broadcast(top), F.col(group) == F.col("g"), "left_anti").select(key, group)
+    wanted = groups * positives
+    rest = _first_rows(others, group, key, wanted).orderBy("place", group).limit(wanted)
     return chosen.unionByName(rest.select(key, group, F.lit("negative").alias("kind")))
 
 
+def _first_rows(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
+    """key, group and place of the first ``n`` rows of each group. Each of SALT parts of a group gives its own first rows
+    before they meet, so no task sorts a whole large group."""
+    part = F.pmod(F.xxhash64(key), F.lit(SALT))
+    by = lambda *c: F.row_number().over(Window.partitionBy(*c).orderBy(key))
+    some = rows.withColumn("part", part).withColumn("place", by(group, "part")).where(F.col("place") <= n)
+    return some.drop("place", "part").withColumn("place", by(group)).where(F.col("place") <= n)
+
+
 def model_agreement(a: DataFrame, b: DataFrame, key: str = "case_id") -> DataFrame:
     """Cases, exact categories of either model against the expected one, and agreement of the two."""
     both = a.select(key, "expected", F.col("category").alias("a")).join(b.select(key, F.col("category").alias("b")), key)
