@@ -4,6 +4,24 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+#: Phrases (and whether case counts), and what the channel policy allows.
+GLOSSARY = (
+    ("Project Nightingale", True),
+    ("KunlunPay", True),
+    ("region-cn-shadow", False),
+    ("PROJECT-TITAN", True),
+    ("internal-margin-formula", False),
+)
+
+
+@dataclass(frozen=True)
+class Channel:
+    """What tool calls may reach: parts of git remotes and of SQL connections, and the end of allowed hosts."""
+
+    git_remotes: tuple[str, ...] = ("git.corp.example.net", "codecommit", "internal-git")
+    sql_connections: tuple[str, ...] = ("analytics-ro", "reporting-replica")
+    home: str = "corp.example.net"
+
 
 @dataclass(frozen=True)
 class ScanConfig:
@@ -11,6 +29,7 @@ class ScanConfig:
 
     ``patterns``: the built-in recognisers; ``results``: a column ``l3_results`` made by an analyzer client;
     ``off``: none, which every request is told in a note (and, with ``fail_closed``, a forced block).
+    ``glossary`` and ``channel`` are data: phrases of any number, and the allowlists of the channel policy.
     """
 
     languages: tuple[str, ...] = ("en", "zh")
@@ -32,3 +51,5 @@ class ScanConfig:
     semantic: bool = False
     semantic_blocks: bool = False
     semantic_min_confidence: float = 0.7
+    glossary: tuple[tuple[str, bool], ...] = GLOSSARY
+    channel: Channel = Channel()

@@ -9,9 +9,13 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from siltgate.config import GLOSSARY
 from siltgate.functions import checks
 from siltgate.functions.spans import find_all, window
 from siltgate.schema import BLOCK, HITS, REDACT, empty, hit
@@ -42,14 +46,6 @@ PII_ENTITIES = ("PERSON", "EMAIL_ADDRESS", "PHONE_NUMBER", "LOCATION", "CREDIT_C
 WEAK_ENTITIES = ("PERSON", "LOCATION")
 CJK = r"[一-鿿]"
 NAME_PUNCTUATION = r"[,。;;!?::、,!?/@=]"
-GLOSSARY = (
-    # phrase, whether case counts
-    ("Project Nightingale", True),
-    ("KunlunPay", True),
-    ("region-cn-shadow", False),
-    ("PROJECT-TITAN", True),
-    ("internal-margin-formula", False),
-)
 TICKET = r"(?U)\bSEV\d-\d{3,6}\b"
 CORP_DOMAIN = r"(?iU)\b[\w.\-]+\.corp\.example\.net\b"
 FALCON, FALCON_CONTEXT = r"(?U)\bFalcon\b", r"(?i)(project|内部|internal|代号|codename)"
@@ -143,14 +139,72 @@ def _phrase(phrase: str, exact: bool) -> Rule:
     return Rule("L3.5", f"glossary:{phrase}", "PROPRIETARY_TERM", BLOCK, pattern, gate=(phrase,) if exact else (), when=when)
 
 
-L35 = (
-    *(_phrase(p, exact) for p, exact in GLOSSARY),
+TERMS = (
     Rule("L3.5", "ticket_id", "PROPRIETARY_TERM", REDACT, TICKET, gate=("SEV",)),
     Rule("L3.5", "corp_domain", "INTERNAL_DOMAIN", BLOCK, CORP_DOMAIN, when=lambda t: F.lower(t).contains(".corp.example.net")),
     Rule("L3.5", "glossary:Falcon", "PROPRIETARY_TERM", BLOCK, FALCON, gate=("Falcon",), when=lambda t: t.rlike(FALCON_CONTEXT)),
 )
 
 
+L35 = (*(_phrase(p, exact) for p, exact in GLOSSARY), *TERMS)
+
+#: Phrases that are an expression each, at most; more are looked for together.
+FEW_PHRASES = 64
+PHRASES = T.ArrayType(T.ArrayType(T.StructType([T.StructField("phrase", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("tok", T.StringType())])))
+
+
+def _ends_word(c: str) -> bool:
+    return c == "-" or c == "_" or c.isalnum()
+
+
+def phrase_spans(glossary: tuple[tuple[str, bool], ...]):
+    """A function of an array of texts: for each the glossary's phrases in it that no word character or hyphen touches.
+
+    One automaton over all phrases reads each text once, whatever their number; those without case in lower case.
+    """
+    named = {}
+    for phrase, exact in glossary:
+        named.setdefault(phrase if exact else phrase.lower(), []).append((phrase, exact))
+
+    def found(automaton, text: str | None) -> list[dict]:
+        if not text:
+            return []
+        low, out = text.lower(), []
+        # Lower case of some letters is longer: then the text goes letter by letter, so that places stay.
+        low = low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        for last, (key, phrases) in automaton.iter(low):
+            start, end = last + 1 - len(key), last + 1
+            if (start and _ends_word(text[start - 1])) or (end < len(text) and _ends_word(text[end])):
+                continue
+            tok = text[start:end]
+            out += [{"phrase": p, "start": start, "end": end, "tok": tok} for p, exact in phrases if not exact or p == tok]
+        return sorted(out, key=lambda x: (x["phrase"], x["start"]))
+
+    built: list = []
+
+    @F.arrow_udf(PHRASES)
+    def spans(texts: pa.Array) -> pa.Array:
+        if not built:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            by_low: dict[str, list] = {}
+            for key, phrases in named.items():
+                by_low.setdefault(key.lower(), []).extend(phrases)
+            for key, phrases in by_low.items():
+                automaton.add_word(key, (key, phrases))
+            automaton.make_automaton()
+            built.append(automaton)
+        return pa.array([None if row is None else [found(built[0], t) for t in row] for row in texts.to_pylist()], to_arrow_type(PHRASES))
+
+    return spans
+
+
+def phrase_hits(found: Column, source: Column, path: Column) -> Column:
+    made = F.transform(found, lambda s: hit("L3.5", F.concat(F.lit("glossary:"), s["phrase"]), "PROPRIETARY_TERM", s["start"], s["end"], s["tok"], BLOCK, source, path))
+    return F.coalesce(made.cast(HITS), empty(HITS))
+
+
 def entropy_tokens(text: Column) -> Column:
     """Every token candidate with its entropy, why its shape exempts it (or null), and whether a context word is near."""
 
@@ -179,11 +233,11 @@ def l2_hits(text: Column, source: Column, path: Column) -> Column:
     return F.coalesce(F.when(asked, made.cast(HITS)), empty(HITS))
 
 
-def local_hits(text: Column, source: Column, path: Column) -> Column:
+def local_hits(text: Column, source: Column, path: Column, glossary: tuple[tuple[str, bool], ...] = GLOSSARY) -> Column:
     """All hits of the local layers, in the layers' order. A rotated text counts only where it blocks."""
     rotated = source == "decoded:rot13"
     parts = []
-    for rules in (L0, L1, None, L35):
+    for rules in (L0, L1, None, (*(_phrase(p, exact) for p, exact in glossary), *TERMS)):
         if rules is None:
             parts.append(l2_hits(text, source, path))
         for r in rules or ():

@@ -1,8 +1,7 @@
 """Similarity to registered texts: exact cosine, top k, and hits over a threshold. Vectors come from outside.
 
-The registered vectors are a bounded corpus (``CORPUS_ROWS``): they are broadcast as one matrix and every query row is
-compared with all of them, a batch of queries by a matrix product at a time. A larger corpus is read in blocks,
-and each block's top k are merged by query.
+One side is broadcast in blocks of at most CORPUS_ROWS rows and BLOCK_BYTES; the other side streams past it. Scores are
+computed a tile at a time and only each tile's best are kept, so a task holds a tile and k candidates for each query.
 """
 
 from __future__ import annotations
@@ -11,21 +10,70 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltgate.schema import HITS, empty, hit
 
-CORPUS_ROWS = 50_000
+CORPUS_ROWS, BLOCK_BYTES = 50_000, 64 << 20
+#: Queries and rows of a tile of scores.
+TILE = (512, 2_048)
 MATCHES = "array<struct<doc_id:string,chunk_id:string,score:double>>"
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
-    rows = [np.asarray(r, np.float64) for r in column.to_pylist()]
-    x = np.stack(rows) if rows else np.zeros((0, 1))
-    norms = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(norms == 0, 1, norms)
+    flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64)
+    return _unit(flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1)))
+
+
+def nearest(asked: np.ndarray, base: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, row number, score) of each query's k best rows, best first; of equal scores (to twelve digits) the first rows."""
+    parts = []
+    for a in range(0, len(asked), TILE[0]):
+        q = asked[a : a + TILE[0]]
+        row, col, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for b in range(0, len(base), TILE[1]):
+            sims = q @ base[b : b + TILE[1]].T
+            order = np.round(sims, 12)
+            most = min(k, sims.shape[1])
+            least = np.partition(order, sims.shape[1] - most, axis=1)[:, sims.shape[1] - most]
+            r, c = np.nonzero(order >= least[:, None])
+            row, col, score = np.concatenate([row, r]), np.concatenate([col, b + c]), np.concatenate([score, sims[r, c]])
+            by = np.lexsort((col, -np.round(score, 12), row))
+            row, col, score = row[by], col[by], score[by]
+            kept = np.arange(len(row)) - np.searchsorted(row, row, "left") < k
+            row, col, score = row[kept], col[kept], score[kept]
+        parts.append((a + row, col, score))
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _blocks(rows: DataFrame, vector: int) -> Iterator[list]:
+    """Rows of a frame on the driver, a block at a time."""
+    block, held = [], 0
+    for row in rows.toLocalIterator():
+        block.append(row)
+        held += 8 * len(row[vector])
+        if len(block) == CORPUS_ROWS or held >= BLOCK_BYTES:
+            yield block
+            block, held = [], 0
+    if block:
+        yield block
+
+
+def _ranked(parts: list[DataFrame], empty_of: DataFrame, schema: T.StructType, k: int, query_id: str, *ties: str) -> DataFrame:
+    if not parts:
+        return empty_of.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    by = Window.partitionBy(query_id).orderBy(F.round("score", 12).desc(), *ties)
+    return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
@@ -35,79 +83,59 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "qu
     """
     known = corpus.where(F.col(vector).isNotNull()).select("doc_id", "chunk_id", vector).orderBy("doc_id", "chunk_id")
     schema = T.StructType([queries.schema[query_id], corpus.schema["doc_id"], corpus.schema["chunk_id"], T.StructField("score", T.DoubleType())])
-    out, block = None, []
 
     def compared(rows: list) -> DataFrame:
-        doc_ids, chunk_ids = [r[0] for r in rows], [r[1] for r in rows]
-        shared = queries.sparkSession.sparkContext.broadcast(np.stack([np.asarray(r[2], np.float64) for r in rows]))
-        most = min(k, len(rows))
+        names = [pa.array([r[i] for r in rows], type=_arrow(schema[i + 1])) for i in (0, 1)]
+        shared = queries.sparkSession.sparkContext.broadcast((_unit(np.array([r[2] for r in rows], np.float64)), names))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            base = shared.value / np.maximum(np.linalg.norm(shared.value, axis=1, keepdims=True), 1e-300)
+            base, ids = shared.value
             for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    part = batch.slice(at, 1024)
-                    sims = _matrix(part.column(vector)) @ base.T
-                    # A stable sort of the negated scores keeps the corpus order, by document and chunk, for ties.
-                    best = np.argsort(-np.round(sims, 12), axis=1, kind="stable")[:, :most]
-                    ids = part.column(query_id).take(pa.array(np.repeat(np.arange(part.num_rows), most)))
-                    flat = best.ravel().tolist()
-                    made = [ids, pa.array([doc_ids[i] for i in flat], type=_arrow(schema[1])), pa.array([chunk_ids[i] for i in flat], type=_arrow(schema[2])), pa.array(np.take_along_axis(sims, best, axis=1).ravel())]
-                    yield pa.RecordBatch.from_arrays(made, [f.name for f in schema])
+                for at in range(0, batch.num_rows, TILE[0]):
+                    part = batch.slice(at, TILE[0])
+                    row, col, score = nearest(_matrix(part.column(vector)), base, k)
+                    yield pa.RecordBatch.from_arrays([part.column(query_id).take(pa.array(row)), *(n.take(pa.array(col)) for n in ids), pa.array(score)], [f.name for f in schema])
 
         return queries.where(F.col(vector).isNotNull()).select(query_id, vector).mapInArrow(run, schema)
 
-    for row in known.toLocalIterator():
-        block.append(row)
-        if len(block) == CORPUS_ROWS:
-            part, block = compared(block), []
-            out = part if out is None else out.unionByName(part)
-    if block:
-        part = compared(block)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
-    by = Window.partitionBy(query_id).orderBy(F.round("score", 12).desc(), "doc_id", "chunk_id")
-    return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    return _ranked([compared(rows) for rows in _blocks(known, 2)], queries, schema, k, query_id, "doc_id", "chunk_id")
 
 
 def top_k_of_all(queries: DataFrame, rows: DataFrame, k: int = 5, query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
     """query_id, doc_id, score, rank: for a stated, bounded set of queries the k best of all rows, ties by doc_id.
 
-    Here the queries travel: each batch of rows gives its own k best for every query, and what the batches give
-    (k rows a query and batch) meets by query. Queries beyond CORPUS_ROWS are taken in blocks.
+    Here the queries travel. A task keeps each query's k best of the rows that it has seen and gives them once, at its end.
     """
     schema = T.StructType([queries.schema[query_id], rows.schema["doc_id"], T.StructField("score", T.DoubleType())])
-    out, block = None, []
 
     def compared(some: list) -> DataFrame:
-        ids = [r[0] for r in some]
-        shared = rows.sparkSession.sparkContext.broadcast(np.stack([np.asarray(r[1], np.float64) for r in some]))
+        names = pa.array([r[0] for r in some], type=_arrow(schema[0]))
+        shared = rows.sparkSession.sparkContext.broadcast((_unit(np.array([r[1] for r in some], np.float64)), names))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            asked = shared.value / np.maximum(np.linalg.norm(shared.value, axis=1, keepdims=True), 1e-300)
+            asked, ids = shared.value
+            best = None
             for batch in batches:
-                order = np.argsort(batch.column("doc_id").to_numpy(zero_copy_only=False), kind="stable")
-                part = batch.take(pa.array(order))
-                sims = asked @ _matrix(part.column(vector)).T
-                most = min(k, part.num_rows)
-                best = np.argsort(-np.round(sims, 12), axis=1, kind="stable")[:, :most]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in np.repeat(np.arange(len(ids)), most)], type=_arrow(schema[0])), part.column("doc_id").take(pa.array(best.ravel())), pa.array(np.take_along_axis(sims, best, axis=1).ravel())], [f.name for f in schema])
+                part = batch.take(pa.compute.sort_indices(batch.column("doc_id")))
+                row, col, score = nearest(asked, _matrix(part.column(vector)), k)
+                new = pa.table({"q": row, "doc": part.column("doc_id").take(pa.array(col)), "score": score, "order": -np.round(score, 12)})
+                both = new if best is None else pa.concat_tables([best, new])
+                both = both.take(pa.compute.sort_indices(both, [("q", "ascending"), ("order", "ascending"), ("doc", "ascending")])).combine_chunks()
+                q = both.column("q").to_numpy()
+                best = both.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q, "left") < k))
+            if best is not None and len(best):
+                best = best.combine_chunks()
+                made = [names_of(ids, best.column("q")), best.column("doc").combine_chunks(), best.column("score").combine_chunks()]
+                yield from pa.table(dict(zip([f.name for f in schema], made, strict=True))).to_batches(max_chunksize=10_000)
 
         return rows.where(F.col(vector).isNotNull()).select("doc_id", vector).mapInArrow(run, schema)
 
-    for row in queries.where(F.col(vector).isNotNull()).select(query_id, vector).orderBy(query_id).toLocalIterator():
-        block.append(row)
-        if len(block) == CORPUS_ROWS:
-            part, block = compared(block), []
-            out = part if out is None else out.unionByName(part)
-    if block:
-        part = compared(block)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
-    by = Window.partitionBy(query_id).orderBy(F.round("score", 12).desc(), "doc_id")
-    return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    known = queries.where(F.col(vector).isNotNull()).select(query_id, vector).orderBy(query_id)
+    return _ranked([compared(some) for some in _blocks(known, 1)], queries, schema, k, query_id, "doc_id")
+
+
+def names_of(ids: pa.Array, number: pa.ChunkedArray) -> pa.Array:
+    return ids.take(number.combine_chunks())
 
 
 def _arrow(field: T.StructField) -> pa.DataType:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siltgate.config import ScanConfig
 from siltgate.functions import text as rewritings
 from siltgate.operators import detectors, egress, semantic, verdicts
-from siltgate.operators.similarity import similarity_hits
+from siltgate.operators.similarity import MATCHES, similarity_hits
 from siltgate.schema import ALERT, HITS, UNIT, VARIANT, empty
 from siltgate.sources.units import call_of, canonical_json, redact_python, text_units
 
@@ -23,6 +23,7 @@ NOTES = {
     "l3_down": "L3 skipped: the analyzer could not be reached, this is no true pass",
     "l3_late": "L3 skipped: the time budget ended before all variants were seen, this is no true pass",
     "l3_partial": "L3 skipped: some languages failed, this is no true pass",
+    "l3_cut": "L3 looked at the first pieces of long texts only",
     "l37_down": "L3.7 skipped: no similarity results",
     "channel": "channel policy, not content",
     "unread": "the message could not be read as JSON, it was scanned as a text",
@@ -32,6 +33,8 @@ NOTES = {
 }
 
 
+UNIT_MATCHES = f"array<struct<text:string,matches:{MATCHES}>>"
+
 _BUILT: dict[tuple, Column] = {}
 
 
@@ -55,12 +58,12 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, F.explode_outer(F.array(value)))
 
 
-def _with_units(df: DataFrame) -> DataFrame:
+def _with_units(df: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
     """``units``, ``channel`` (the policy's hits) and ``forms``: the prepared texts of the units, then of the window."""
     is_call = F.col("content_kind") == "mcp_call"
     called = df.withColumn("call", call_of(F.when(is_call, F.col("content"))))
     outward = F.col("injection_point").isin("mcp", "egress") & F.coalesce("call.is_object", F.lit(False))
-    called = called.withColumn("channel", built(lambda: F.when(outward, egress.channel_hits(F.col("call"))).otherwise(empty(HITS)), "channel"))
+    called = called.withColumn("channel", built(lambda: F.when(outward, egress.channel_hits(F.col("call"), cfg.channel)).otherwise(empty(HITS)), "channel", cfg.channel))
     units = F.when(is_call, F.col("call.units")).otherwise(text_units(F.col("content"))).cast(f"array<{UNIT}>")
     windowed = ~is_call & (F.size(F.coalesce("session_window", empty("array<string>"))) > 0)
     joined = F.concat(F.array_join("session_window", ""), F.coalesce("content", F.lit("")))
@@ -69,9 +72,9 @@ def _with_units(df: DataFrame) -> DataFrame:
     return once(ready, "forms", rewritings.prepare(texts))
 
 
-def with_variants(df: DataFrame) -> DataFrame:
+def with_variants(df: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
     """``df`` with ``variants``: every rewriting of every unit, in order, each text once for a unit."""
-    ready = _with_units(df)
+    ready = _with_units(df, cfg)
     window = F.when(F.col("windowed"), F.element_at("forms", -1))
 
     def of(unit: Column, form: Column) -> Column:
@@ -89,8 +92,13 @@ def l3_texts(cfg: ScanConfig) -> Column:
     return F.flatten(F.transform(F.array(some), rewritings.distinct_by_text))
 
 
-def _local(variants: Column) -> Column:
-    return F.flatten(F.transform(variants, lambda v: detectors.local_hits(v["text"], v["source"], v["field_path"])))
+def _local(variants: Column, glossary: tuple[tuple[str, bool], ...] = detectors.GLOSSARY) -> Column:
+    if len(glossary) <= detectors.FEW_PHRASES:
+        return F.flatten(F.transform(variants, lambda v: detectors.local_hits(v["text"], v["source"], v["field_path"], glossary)))
+    # A long glossary is one automaton over all variants of the message; its hits follow those of the other local layers.
+    found = detectors.phrase_spans(glossary)(F.transform(variants, lambda v: v["text"]))
+    of = lambda v, f: F.concat(detectors.local_hits(v["text"], v["source"], v["field_path"], ()), detectors.phrase_hits(f, v["source"], v["field_path"]))
+    return F.flatten(F.zip_with(variants, found, of))
 
 
 def _personal(cfg: ScanConfig) -> Column:
@@ -108,12 +116,47 @@ def _personal(cfg: ScanConfig) -> Column:
         return run
 
     def of(v: Column) -> Column:
+        # Pieces spare a service's time; the built-in recognisers read whole texts.
+        if cfg.l3 != "results":
+            return of_piece(v)(v["text"])
         pieces = detectors.chunks(v["text"], cfg.l3_max_variant_len, cfg.l3_chunk_size, cfg.l3_max_chunks)
         return F.flatten(F.transform(pieces, of_piece(v)))
 
     return F.coalesce(F.flatten(F.transform("l3_texts", of)), empty(HITS))
 
 
+def unit_texts() -> Column:
+    """The distinct normal forms of a message's units that are not empty, each with the path of the first unit that has it."""
+    named = F.zip_with("units", F.slice("forms", 1, F.size("units")), lambda u, f: F.struct(f["norm"].alias("text"), F.lit("normalized").alias("source"), u["field_path"].alias("field_path")))
+    return F.flatten(F.transform(F.array(named.cast(f"array<{VARIANT}>")), rewritings.distinct_by_text))
+
+
+def _similar_by_unit(cfg: ScanConfig) -> Column:
+    """The best match of every unit text that has one at the threshold, with the unit's path."""
+
+    def of(unit: Column) -> Column:
+        own = F.filter(F.coalesce("similar_units", empty(UNIT_MATCHES)), lambda m: m["text"] == unit["text"])
+        return similarity_hits(F.flatten(F.transform(F.slice(own, 1, 1), lambda m: m["matches"])), cfg.similarity_threshold, cfg.similarity_action, unit["field_path"])
+
+    return F.flatten(F.transform(unit_texts(), of))
+
+
+def texts_to_embed(df: DataFrame, key: str = "req_id") -> DataFrame:
+    """key, text: what a similarity search has to be asked for each message of ``df``."""
+    if "session_window" not in df.columns:
+        df = df.withColumn("session_window", F.lit(None).cast("array<string>"))
+    return _with_units(df).select(key, F.explode(F.transform(unit_texts(), lambda u: u["text"])).alias("text"))
+
+
+def with_similar(df: DataFrame, asked: DataFrame, similar: DataFrame, key: str = "req_id") -> DataFrame:
+    """``df`` with ``similar_units``: for each text of ``asked`` (key, text) what ``similar`` (text, similar) says of it.
+
+    Texts without a row there could not be looked up; the scan says so in a note.
+    """
+    both = asked.join(similar, "text").groupBy(key).agg(F.collect_list(F.struct("text", F.col("similar").alias("matches"))).cast(UNIT_MATCHES).alias("similar_units"))
+    return df.join(both, key, "left")
+
+
 def _first_seen(df: DataFrame) -> Column:
     """The path of the first unit."""
     return F.element_at(F.transform("units", lambda u: u["field_path"]), 1)
@@ -123,19 +166,25 @@ def scan(df: DataFrame, cfg: ScanConfig | None = None) -> DataFrame:
     """A row per message: verdict, top_layer, hits, redacted_text, alerts, notes, forced_block and the variants.
 
     ``df`` has the columns of REQUEST (``session_window`` may be missing), and where the settings ask for them
-    ``l3_results`` (from an analyzer), ``similar`` (from a similarity search) and ``l4_reply`` (from a model).
+    ``l3_results`` (from an analyzer), ``similar_units`` (matches by unit text, see :func:`with_similar`) or ``similar``
+    (one search for a whole message), and ``l4_reply`` (from a model).
     Further columns pass through.
     """
     cfg = cfg or ScanConfig()
     if "session_window" not in df.columns:
         df = df.withColumn("session_window", F.lit(None).cast("array<string>"))
     own = df.columns
-    rows = with_variants(df)
-    rows = rows.withColumn("found", built(lambda: _local(F.col("variants")), "local"))
+    rows = with_variants(df, cfg)
+    rows = rows.withColumn("found", built(lambda: _local(F.col("variants"), cfg.glossary), "local", cfg.glossary))
     if cfg.l3 != "off":
         rows = rows.withColumn("l3_texts", l3_texts(cfg)).withColumn("found", F.concat("found", built(lambda: _personal(cfg), "personal", cfg)))
-    if cfg.similarity:
-        rows = rows.withColumn("found", F.concat("found", similarity_hits(F.coalesce("similar", F.array().cast("array<struct<doc_id:string,chunk_id:string,score:double>>")), cfg.similarity_threshold, cfg.similarity_action, _first_seen(rows))))
+    l37_note = F.lit(None)
+    if cfg.similarity and "similar_units" in own:
+        rows = rows.withColumn("found", F.concat("found", _similar_by_unit(cfg)))
+        l37_note = F.when(F.size(F.array_except(F.transform(unit_texts(), lambda u: u["text"]), F.coalesce(F.transform("similar_units", lambda m: m["text"]), empty("array<string>")))) > 0, NOTES["l37_down"])
+    elif cfg.similarity:
+        rows = rows.withColumn("found", F.concat("found", similarity_hits(F.coalesce("similar", empty(MATCHES)), cfg.similarity_threshold, cfg.similarity_action, _first_seen(rows))))
+        l37_note = F.when(F.col("similar").isNull(), NOTES["l37_down"])
     rows = rows.withColumn("found", F.concat("found", "channel"))
     none = empty(f"array<{ALERT}>")
     reply = F.col("l4_reply") if "l4_reply" in own else None
@@ -163,12 +212,13 @@ def scan(df: DataFrame, cfg: ScanConfig | None = None) -> DataFrame:
         F.when(F.col("unread"), NOTES["unread"]),
         F.when(F.size("channel") > 0, NOTES["channel"]),
         l3_note,
-        F.when(F.col("similar").isNull(), NOTES["l37_down"]) if cfg.similarity else F.lit(None),
+        F.when(F.exists("l3_texts", lambda v: F.length(v["text"]) > max(cfg.l3_max_variant_len, cfg.l3_chunk_size * cfg.l3_max_chunks)), NOTES["l3_cut"]) if cfg.l3 == "results" else F.lit(None),
+        l37_note,
         F.when(F.col("pairs").isNotNull() & (F.col("redacted") == F.col("as_it_was")), NOTES["no_effect"]),
         F.lit(None) if cfg.semantic else F.lit(NOTES["l4_async"]),
         F.when(F.size("promoted") > 0, NOTES["l4_block"]),
     ))
-    incomplete = F.exists(notes, lambda n: n.startswith("L3"))
+    incomplete = F.exists(notes, lambda n: n.startswith("L3 skipped") | n.startswith("L3.7 skipped"))
     return rows.select(
         *own,
         "verdict", "top_layer", "hits", F.size("hits").alias("n_hits"),

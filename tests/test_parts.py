@@ -356,3 +356,47 @@ def test_safe_view_hides_text(spark):
     got = scan(spark.createDataFrame([("a", "prompt", "text", "mail a@realcorp.io", None)], REQUEST))
     assert hits_table(got).count() == 2 and not {"matched", "span_start", "span_end"} & set(safe_hits(got).columns)
     assert detectors.GLOSSARY
+
+
+def test_engine_and_settings_as_data(spark):
+    """The public engine; a glossary of thousands of phrases is one automaton and finds what expressions find."""
+    import siltgate
+    from siltgate.config import GLOSSARY
+
+    texts = {"a": "KunlunPay and region-CN-shadow", "b": "kunlunpay xKunlunPay KunlunPay-x", "c": "Project Nightingale, PROJECT-TITAN. İ internal-MARGIN-formula", "d": "word417 is here, Word417 and word4170"}
+    df = spark.createDataFrame([(k, "prompt", "text", v, None) for k, v in texts.items()], REQUEST)
+    many = (*GLOSSARY, *((f"word{i}", i % 2 == 1) for i in range(3000)))
+    key = lambda cfg: {(r.req_id, h.rule, h.span_start, h.span_end, h.matched, h.source) for r in siltgate.Engine(cfg).scan(df).collect() for h in r.hits}
+    few, all_ = key(siltgate.ScanConfig(l3="off")), key(siltgate.ScanConfig(l3="off", glossary=many))
+    assert few and {x for x in all_ if "word" not in x[1]} == few
+    assert {(x[1], x[4]) for x in all_ if x[5] == "raw" and "word" in x[1]} == {("glossary:word417", "word417")}
+    call = spark.createDataFrame([("g", "mcp", "mcp_call", '{"tool":"sh","arguments":{"command":"git push git.mine.example.io/r"}}', None)], REQUEST)
+    open_ = siltgate.ScanConfig(l3="off", channel=siltgate.Channel(git_remotes=("git.mine.example.io",)))
+    assert [siltgate.Engine(c).rows(call).first().verdict for c in (siltgate.ScanConfig(l3="off"), open_)] == ["block", "pass"]
+    assert siltgate.Layer("L3.5").value == "L3.5" and siltgate.Verdict.BLOCK == "block" and "matched" not in siltgate.Engine().hits(df).columns
+
+
+def test_similarity_by_unit(spark):
+    """Every unit's text is looked up and a hit has that unit's path; a text without an answer is told in a note."""
+    from siltgate.plans.scan import texts_to_embed, with_similar
+
+    df = spark.createDataFrame([("a", "mcp", "mcp_call", '["one","two","one","ｔｗｏ"]', None), ("b", "prompt", "text", "three", None)], REQUEST)
+    asked = texts_to_embed(df)
+    assert sorted(map(tuple, asked.collect())) == [("a", "one"), ("a", "two"), ("b", "three")]
+    said = spark.createDataFrame([("one", []), ("two", [("d1", "0", 0.9), ("d2", "0", 0.4)])], f"text string, similar {similarity.MATCHES}")
+    got = {r.req_id: r for r in scan(with_similar(df, asked, said), ScanConfig(l3="off", similarity=True, similarity_threshold=0.8)).collect()}
+    assert [(h.rule, h.field_path, h.confidence) for h in got["a"].hits] == [("rag:d1#0", "[1]", 0.9)]
+    assert not any(n.startswith("L3.7") for n in got["a"].notes) and any(n.startswith("L3.7 skipped") for n in got["b"].notes)
+
+
+def test_built_in_recognisers_read_whole_texts(spark):
+    """An address far behind the pieces that a service would get is found; a service's cut is told in a note."""
+    text = "z " * 5000 + "203.0.114.7"
+    got = scan(spark.createDataFrame([("a", "prompt", "text", text, None)], REQUEST)).first()
+    assert got.verdict == "redact" and [(h.entity, h.span_start) for h in got.hits if h.source == "raw"] == [("IP_ADDRESS", 10_000)]
+    asked = spark.createDataFrame([("a", "prompt", "text", text, None, [])], REQUEST + f", l3_results {analyzer_schema()}")
+    assert any("first pieces" in n for n in scan(asked, ScanConfig(l3="results", fail_closed=True)).first().notes)
+
+
+def analyzer_schema():
+    return "array<struct<text:string,status:string,results:array<struct<lang:string,entity_type:string,start:int,end:int,score:double>>>>"
