@@ -13,11 +13,11 @@ from siltgate.functions import text as rewritings
 from siltgate.functions.spans import find_all
 from siltgate.operators import detectors, semantic, verdicts
 from siltgate.operators.similarity import best_score, matches, similarity_hits, top_k_of_all
-from siltgate.plans import evaluate, messages
+from siltgate.plans import cases, evaluate, messages
 from siltgate.plans.scan import scan
 from siltgate.schema import HITS, empty, hit
 from siltgate.sources.units import call_of
-from siltgate.streaming.queries import STREAM_WINDOWS, q_stream_verdicts, q_stream_windows
+from siltgate.streaming.queries import STREAM_VERDICTS, STREAM_WINDOWS, q_stream_verdicts, q_stream_windows
 
 def no_path() -> Column:
     return F.lit(None).cast("string")
@@ -588,8 +588,9 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     "eval_derivation": (q_derived_evaluation, DERIVED_EVALUATION),
     "suite_rollup": (q_suite_rollup, SUITE_ROLLUP),
     "model_agreement": (q_model_agreement, MODEL_AGREEMENT),
+    **cases.QUERIES,
     "streaming_windows": (q_stream_windows, STREAM_WINDOWS),
-    "streaming_verdicts": (q_stream_verdicts, None),
+    "streaming_verdicts": (q_stream_verdicts, STREAM_VERDICTS),
 }
 QUERIES: dict[str, Query] = {k: f for k, (f, _) in _ALL.items()}
 ORACLE_SQL: dict[str, str] = {k: s for k, (_, s) in _ALL.items() if s}

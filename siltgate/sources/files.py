@@ -46,7 +46,7 @@ def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
     Content may be text or an object: it is kept as text, objects as JSON.
     """
     expected = "verdict string, top_layer string, must_hit array<struct<entity:string,action:string>>, must_not_hit array<struct<entity:string,action:string>>"
-    raw = spark.read.option("wholetext", True).text(path).select(F.explode(F.variant_get(F.parse_json("value"), "$", "array<variant>")).alias("v"))
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.variant_get(F.parse_json("value"), "$", "array<variant>")).alias("v"))
     get = lambda p, kind: F.try_variant_get("v", p, kind)
     content = F.when(get("$.content_kind", "string") == "mcp_call", F.to_json(get("$.content", "variant"))).otherwise(get("$.content", "string"))
     wanted = F.from_json(F.to_json(get("$.expected", "variant")), expected)
@@ -60,7 +60,7 @@ def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
 
 def read_groups(spark: SparkSession, path: str, max_chars: int = 2000) -> DataFrame:
     """Source files as (group, name, text): the folder is the group, texts are cut to ``max_chars``."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     return files.select(F.element_at(F.split("path", "/"), -2).alias("group"), F.element_at(F.split("path", "/"), -1).alias("name"), F.substring("value", 1, max_chars).alias("text"))
 
 

@@ -53,6 +53,19 @@ FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN
 
 
 def q_stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole scan as a stream."""
-    windowed = stream.session_windows(live_messages(spark, sf_dir))
-    return finished(stream.scan_stream(windowed, ScanConfig()).select("req_id", "verdict", "top_layer", "n_hits"))
+    """The whole scan as a stream, with a key and an address in some first turns: a session's later turns have them in their window."""
+    told = F.when((F.col("turn") == 0) & (F.col("session") % 3 == 0), F.concat(F.lit("key AKIA"), F.lpad("session", 16, "0"), F.lit(" "), "content"))
+    told = told.when((F.col("turn") == 0) & (F.col("session") % 3 == 1), F.concat(F.lit("SEV1-12345 "), "content")).otherwise(F.col("content"))
+    windowed = stream.session_windows(live_messages(spark, sf_dir).withColumn("content", told))
+    return finished(stream.scan_stream(windowed, ScanConfig(l3="off")).select("req_id", "verdict", "top_layer"))
+
+
+#: What the conversations hold themselves counts too: none of it looks like a key or a ticket.
+STREAM_VERDICTS = f"""
+WITH w AS (
+  SELECT conv_id, turn, row_number() OVER o - 1 AS before, first_value(turn) OVER o = 0 AS starts, string_agg(coalesce(text, ''), '') OVER o AS seen
+  FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id || '-' || turn AS req_id, CASE WHEN regexp_matches(seen, 'A[KS]IA[0-9A-Z]{{16}}') OR (conv_id % 3 = 0 AND starts AND before <= {stream.FRAGMENTS}) THEN 'block' WHEN regexp_matches(seen, 'SEV[0-9]-[0-9]{{3}}') OR (conv_id % 3 = 1 AND starts AND before <= {stream.FRAGMENTS}) THEN 'redact' ELSE 'pass' END AS verdict,
+  CASE WHEN conv_id % 3 = 0 AND starts AND before <= {stream.FRAGMENTS} THEN 'L0' WHEN conv_id % 3 = 1 AND starts AND before <= {stream.FRAGMENTS} THEN 'L3.5' END AS top_layer
+FROM w
+"""
