@@ -30,18 +30,22 @@ class QualityRule:
     fails: Column
 
 
+#: The rules' names, by bit.
+NAMES = ("too_few_words", "repeated_windows", "symbols", "duplicate_lines", "word_length", "one_word_rules", "shouting", "stutter")
+
+
 def rules() -> list[QualityRule]:
     """Bits are never reused: a changed rule gets a new bit, so that old ledgers keep their meaning."""
     c = F.col
     return [
-        QualityRule(0, "too_few_words", c("n_words") < 20),
-        QualityRule(1, "repeated_windows", 100 * c("n_repeat_words") > 30 * c("n_words")),
-        QualityRule(2, "symbols", 100 * c("n_symbols") > 20 * c("n_words")),
-        QualityRule(3, "duplicate_lines", 100 * c("n_dup_lines") > 40 * c("n_lines")),
-        QualityRule(4, "word_length", (c("word_chars") > 14 * c("n_words")) | (2 * c("word_chars") < 3 * c("n_words"))),
-        QualityRule(5, "one_word_rules", 100 * c("n_top_word") > 35 * c("n_words")),
-        QualityRule(6, "shouting", (100 * c("n_upper") > 45 * c("word_chars")) | (100 * c("n_bang") > 50 * c("n_words"))),
-        QualityRule(7, "stutter", 100 * c("n_same_next") > 30 * c("n_words")),
+        QualityRule(0, NAMES[0], c("n_words") < 20),
+        QualityRule(1, NAMES[1], 100 * c("n_repeat_words") > 30 * c("n_words")),
+        QualityRule(2, NAMES[2], 100 * c("n_symbols") > 20 * c("n_words")),
+        QualityRule(3, NAMES[3], 100 * c("n_dup_lines") > 40 * c("n_lines")),
+        QualityRule(4, NAMES[4], (c("word_chars") > 14 * c("n_words")) | (2 * c("word_chars") < 3 * c("n_words"))),
+        QualityRule(5, NAMES[5], 100 * c("n_top_word") > 35 * c("n_words")),
+        QualityRule(6, NAMES[6], (100 * c("n_upper") > 45 * c("word_chars")) | (100 * c("n_bang") > 50 * c("n_words"))),
+        QualityRule(7, NAMES[7], 100 * c("n_same_next") > 30 * c("n_words")),
     ]
 
 

@@ -133,6 +133,25 @@ m AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_mask & 3 <> 0 AS base_failed, fail_mask = 0 AS kept, fail_mask FROM m
 """
 
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every policy of the ledger would keep without each of its rules."""
+    return quality_ledger.ablations(quality_ledger.ledger(table(spark, sf_dir, "documents")))
+
+
+def _values(rows: list[tuple[str, int]]) -> str:
+    return ", ".join(f"('{name}', {n}::BIGINT)" for name, n in rows)
+
+
+ABLATIONS_SQL = OP2_SQL[: OP2_SQL.rindex("SELECT doc_id, n_words")] + f""", p AS (SELECT * FROM (VALUES {_values([(p.version, p.mask) for p in quality_ledger.POLICIES.values()])}) AS t(version, mask)),
+r AS (SELECT * FROM (VALUES {_values([(name, 1 << bit) for bit, name in enumerate(quality_ledger.NAMES)])}) AS t(rule, bit)),
+h AS (SELECT version, rule, bit, fail_mask & mask AS hit FROM m CROSS JOIN p JOIN r ON mask & bit <> 0)
+SELECT version, rule, count(*) FILTER (WHERE hit & bit <> 0) AS n_fail, count(*) FILTER (WHERE hit = bit) AS n_only, count(*) FILTER (WHERE hit = 0) AS n_kept,
+  count(*) FILTER (WHERE hit & ~bit = 0) AS n_kept_without
+FROM h GROUP BY version, rule
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_ledger": op2_quality_ledger,
@@ -144,5 +163,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
+    "quality_ablations": quality_ablations,
 }
-ORACLE_SQL: dict[str, str] = {"op2_quality_ledger": OP2_SQL, "op5_chat": OP5_SQL, "op7_line_dedup": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality_ledger": OP2_SQL, "op5_chat": OP5_SQL, "op7_line_dedup": OP7_SQL, "quality_ablations": ABLATIONS_SQL}
