@@ -121,7 +121,10 @@ ANCHORS = r"^(licen|redistribut|permission|granted$|domain$)"
 TAG = r"(?i)SPDX-License-Identifier:[ \t]*(\(?[A-Za-z0-9.+-]+\)?(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(?[A-Za-z0-9.+-]+\)?)*)"
 #: A line without any of these is no part of a notice.
 MARKERS = ("licen", "spdx", "permission", "redistribut", "public domain", "free software", "subject to the terms", "hereby granted")
+MARKED = "(?i)" + "|".join(map(re.escape, MARKERS))
 LEAST = 0.75
+#: Words of a text whose windows are made in one row.
+PIECE = 4096
 #: The number of a whole text among its candidates; windows have smaller ones, lines and runs larger ones.
 WHOLE_RUN = -5
 BROADCAST_ROWS = 100_000
@@ -166,10 +169,17 @@ def windows(marked: DataFrame, shares: list[list[tuple[str, float]]]) -> DataFra
     bound = lambda t, k: F.aggregate(F.get(held, k), F.lit(0.0), lambda s, x: s + F.when(F.array_contains(t, x["w"]), x["p"]).otherwise(0.0))
     could = lambda t, k: bound(t, k) >= LEAST**2 - 1e-6
     none = F.array().cast("array<struct<s:int,l:int,k:int>>")
-    at = lambda w, i: F.coalesce(F.transform(F.try_element_at(table, w), lambda x: F.struct(F.greatest(i - x["o"], F.lit(0)).alias("s"), x["l"].alias("l"), x["k"].alias("k"))), none)
-    each = marked.select("file", "t", F.explode(F.array_distinct(F.flatten(F.transform("t", at)))).alias("w"))
-    cut = each.select("file", "w.k", (-(F.col("w.s").cast("long") * 1024 + F.col("w.l") + 10)).alias("run"), F.slice("t", F.col("w.s") + 1, F.col("w.l")).alias("t"), F.lit(False).alias("is_line"))
-    found = cut.where(could(F.col("t"), F.col("k"))).drop("k").dropDuplicates(["file", "run"])
+    # Texts become pieces that overlap by the longest window, so that a row's windows are bounded; a window is its anchor's piece's.
+    over = max(n for own in places.values() for _, n, _ in own)
+    first = lambda b: F.greatest(b - over, F.lit(0))
+    piece = lambda b: F.struct(b.alias("base"), first(b).alias("first"), F.slice("t", first(b) + 1, F.lit(PIECE + 2 * over)).alias("t"))
+    pieces = marked.where(F.size("t") > 0).select("file", F.inline(F.transform(F.sequence(F.lit(0), F.size("t") - 1, F.lit(PIECE)), piece)))
+    own = lambda i: (i >= F.col("base")) & (i < F.col("base") + PIECE)
+    spots = lambda w, i: F.transform(F.try_element_at(table, w), lambda x: F.struct(F.greatest(i - x["o"], F.lit(0)).alias("s"), x["l"].alias("l"), x["k"].alias("k")))
+    at = lambda w, i: F.when(own(F.col("first") + i), F.coalesce(spots(w, F.col("first") + i), none)).otherwise(none)
+    cut = lambda x: F.struct((-(x["s"].cast("long") * 1024 + x["l"] + 10)).alias("run"), F.slice("t", x["s"] - F.col("first") + 1, x["l"]).alias("t"), x["k"].alias("k"))
+    fit = F.filter(F.transform(F.flatten(F.transform("t", at)), cut), lambda x: could(x["t"], x["k"]))
+    found = pieces.select("file", F.inline(fit)).select("file", "run", "t", F.lit(False).alias("is_line")).dropDuplicates(["file", "run"])
     full = [k for k, (_, notice, _) in enumerate(templates()) if any(notice in f for f in FULL.values())]
     some = F.lit(False)
     for k in full:
@@ -178,11 +188,10 @@ def windows(marked: DataFrame, shares: list[list[tuple[str, float]]]) -> DataFra
     return found.unionByName(whole.select("file", F.lit(WHOLE_RUN).cast("long").alias("run"), "t", F.lit(False).alias("is_line")))
 
 
-def candidates(files: DataFrame) -> DataFrame:
+def candidates(marked: DataFrame) -> DataFrame:
     """file, run, t (words), is_line: lines with a marker, and the runs of neighbouring ones."""
-    marked = "(?i)" + "|".join(map(re.escape, MARKERS))
-    some = files.where(F.col("text").rlike(marked)).select("file", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = some.where(F.col("line").rlike(marked) & ~F.col("line").rlike(TAG))
+    some = marked.select("file", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    lines = some.where(F.col("line").rlike(MARKED) & ~F.col("line").rlike(TAG))
     by = Window.partitionBy("file").orderBy("pos")
     # Ranks and sets, so that lines of repeated rows count once.
     runs = lines.withColumn("run", F.col("pos") - F.dense_rank().over(by))
@@ -194,9 +203,9 @@ def candidates(files: DataFrame) -> DataFrame:
 
 
 def marked_texts(files: DataFrame) -> DataFrame:
-    """file, t (words) of the texts with a marker, without SPDX tags."""
-    marked = "(?i)" + "|".join(map(re.escape, MARKERS))
-    return files.where(F.col("text").rlike(marked)).select("file", tokens(F.regexp_replace("text", TAG, "")).alias("t"))
+    """file, text, t (words without SPDX tags), all_words of the texts with a marker. All later steps read these texts only."""
+    some = files.where(F.col("text").rlike(MARKED))
+    return some.select("file", "text", tokens(F.regexp_replace("text", TAG, "")).alias("t"), F.size(F.split(F.trim("text"), r"\s+", -1)).alias("all_words"))
 
 
 def _terms(found: DataFrame) -> DataFrame:
@@ -204,10 +213,10 @@ def _terms(found: DataFrame) -> DataFrame:
     return each.groupBy("file", "run", "is_line", "n_words", "word").agg(F.count("*").alias("tf"))
 
 
-def scored(spark: SparkSession, files: DataFrame, put: Put = stored) -> DataFrame:
+def scored(spark: SparkSession, marked: DataFrame, put: Put = stored) -> DataFrame:
     """file, run, is_line, n_words, license, cosine: the best template of each candidate that shares a word with one."""
     words = vocabulary()
-    lined = put(_terms(candidates(files)), "licence-terms")
+    lined = put(_terms(candidates(marked)), "licence-terms")
     total = lined.select("file", "run", "is_line").distinct().count()
     share = {r["word"]: r["n"] for r in lined.where(F.col("word").isin(words)).groupBy("word").agg(F.count("*").alias("n")).collect()}
     # The inverse share of candidates, smoothed; words that no template has weigh like the rarest.
@@ -223,7 +232,7 @@ def scored(spark: SparkSession, files: DataFrame, put: Put = stored) -> DataFram
     shares: list[list[tuple[str, float]]] = [[] for _ in templates()]
     for w, _, k, v, _ in rows:
         shares[k].append((w, v * v))
-    terms = lined.unionByName(put(_terms(windows(marked_texts(files), shares)), "licence-window-terms"))
+    terms = lined.unionByName(put(_terms(windows(marked, shares)), "licence-window-terms"))
     quote = lambda x: "'" + str(x) + "'"
     notices = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({quote(w)}, {quote(n)}, {k}, double({v!r}), {x})" for w, n, k, v, x in rows) + " AS t(word, license, notice, weight, windowed)")
     weights = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({quote(w)}, double({v!r}))" for w, v in idf.items()) + " AS t(word, idf)")
@@ -245,12 +254,14 @@ def tagged(files: DataFrame) -> DataFrame:
 
 
 def own_licenses(files: DataFrame, put: Put = stored) -> DataFrame:
-    """file, own_license, cosine, matched_words of the files that have a tag or a candidate at or above LEAST."""
-    good = scored(files.sparkSession, files, put).where(F.col("cosine") >= LEAST).unionByName(tagged(files))
+    """file, own_license, cosine, is_mostly (half of the words match) of the files that have a tag or a candidate at or above LEAST."""
+    marked = put(marked_texts(files), "licence-marked")
+    good = scored(files.sparkSession, marked, put).where(F.col("cosine") >= LEAST).unionByName(tagged(marked))
     pick = F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license").alias("l"))).alias("b")
-    return good.groupBy("file").agg(pick, F.max(F.when(F.col("is_line"), F.lit(0)).otherwise(F.col("n_words"))).alias("in_run"), F.sum(F.when(F.col("is_line"), F.col("n_words")).otherwise(0)).alias("in_lines")).select(
-        "file", F.col("b.l").alias("own_license"), (-F.col("b.c")).alias("cosine"), F.greatest("in_run", "in_lines").alias("matched_words")
-    )
+    best = good.groupBy("file").agg(pick, F.max(F.when(F.col("is_line"), F.lit(0)).otherwise(F.col("n_words"))).alias("in_run"), F.sum(F.when(F.col("is_line"), F.col("n_words")).otherwise(0)).alias("in_lines"))
+    sizes = marked.groupBy("file").agg(F.max("all_words").alias("all_words"))
+    mostly = 2 * F.greatest("in_run", "in_lines") >= F.col("all_words")
+    return best.join(sizes, "file").select("file", F.col("b.l").alias("own_license"), (-F.col("b.c")).alias("cosine"), mostly.alias("is_mostly"))
 
 
 def folder(path: Column) -> Column:
@@ -274,8 +285,9 @@ def scan(files: DataFrame, keys: list[str]) -> DataFrame:
     named = source.withColumn("file", F.struct(F.xxhash64("path", "text").alias("a"), F.xxhash64(F.lit(1), "text", "path").alias("b")))
     with scratch(files.sparkSession) as put:
         own = put(own_licenses(named.select("file", "text").where(F.col("text") != ""), put), "licence-own")
-        n_words = F.size(F.split(F.trim("text"), r"\s+", -1))
-        base = named.join(own, "file", "left").select(*keys, "path", "own_license", "cosine", F.coalesce((F.element_at(F.split("path", "/", -1), -1).rlike(FILE_NAMES)) & F.col("own_license").isNotNull() | (2 * F.col("matched_words") >= n_words), F.lit(False)).alias("is_license_file"))
+        # Texts take no part in the join, which may be a shuffle.
+        is_file = F.col("own_license").isNotNull() & (F.element_at(F.split("path", "/", -1), -1).rlike(FILE_NAMES) | F.col("is_mostly"))
+        base = named.drop("text").join(own, "file", "left").select(*keys, "path", "own_license", "cosine", F.coalesce(is_file, F.lit(False)).alias("is_license_file"))
         base = stored(base, "licence-files")
         pick = F.min(F.struct((-F.col("cosine")).alias("c"), F.col("own_license").alias("l"))).alias("b")
         given = put(base.where("is_license_file").groupBy(folder(F.col("path")).alias("dir")).agg(pick).select("dir", F.col("b.l").alias("dir_license")), "licence-folders")
