@@ -662,3 +662,16 @@ def test_near_copies_with_repeated_lines(spark):
     assert sum((a ^ b).bit_count() > 18 for a, b in zip(fps[::2], fps[1::2], strict=True)) > 10
     got = {r.doc_id: r.component_id for r in simhash.near_clusters(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: d - d % 2 for d, _ in rows}
+
+
+def test_licence_windows_do_not_depend_on_pieces(spark, monkeypatch):
+    notice = licenses.TEMPLATES["GPL-3.0"][1].lower().replace(";", "").replace(":", "").replace(",", "").replace(".", "")
+    words = ["the"] * 13 + notice.split() + ["license"] * 9 + ["end"] * 7
+    shares = [[(w, 1 / len(set(own))) for w in sorted(set(own))] for own in (licenses._split(n) for _, n, _ in licenses.templates())]
+    marked = spark.createDataFrame([(1, words), (2, []), (3, ["license"])], "file int, t array<string>")
+    got = []
+    for size in (4096, 5):
+        monkeypatch.setattr(licenses, "PIECE", size)
+        got.append(sorted((r["file"], r["run"], tuple(r["t"])) for r in licenses.windows(marked, shares).collect()))
+    assert got[0] == got[1]
+    assert any(run < licenses.WHOLE_RUN for _, run, _ in got[0])
