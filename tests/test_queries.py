@@ -5,7 +5,9 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from siltgate.operators import detectors
 from siltgate.plans.queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -59,3 +61,18 @@ def test_session_windows_hold_all_earlier_turns(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.req_id: r.session_window for r in requests(spark, str(tmp_path)).collect()}
     assert got == {f"c-1-{t}": [f"text {i}" for i in range(t)] for t in range(50)}
+
+
+def test_a_card_before_an_address_is_not_drawn_into_it(spark, tmp_path):
+    whole = ["4451718024887799 27.65.93.188 x", "pay 4111111111111111 53", "1 4111111111111111 27 end", "4111-1111-1111-1111 or 4111 1111 1111 1111"]
+    parts = ["12345 4111111111111111", "4111111111111111\n27 28", "4111111111111 4111111111111", "12345678901234567890 12", "1.4111111111111111 27", "411111111111 1111 27", "", None]
+    rows = list(enumerate([*whole, *parts]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = con.execute(ORACLE_SQL["card_luhn"])
+    columns = [d[0] for d in got.description]
+    df = QUERIES["card_luhn"](spark, str(tmp_path))
+    assert rows_of(df.columns, df.collect()) == rows_of(columns, got.fetchall())
+    hits = spark.createDataFrame([(whole[0],)], "text string").select(detectors.recognise(F.col("text")).alias("r")).first().r
+    assert ("CREDIT_CARD", 0, 16) in {(h.entity_type, h.start, h.end) for h in hits}
