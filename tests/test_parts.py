@@ -400,3 +400,13 @@ def test_built_in_recognisers_read_whole_texts(spark):
 
 def analyzer_schema():
     return "array<struct<text:string,status:string,results:array<struct<lang:string,entity_type:string,start:int,end:int,score:double>>>>"
+
+
+def test_two_digits_are_those_of_the_exact_value(spark):
+    """Labels print scores as the reference does: 0.345 is a little less than that, and 0.125 goes to the even digit."""
+    rng = random.Random(3)
+    xs = [k / 1000 for k in range(-1100, 1101, 5)] + [k / 8 for k in range(-20, 20)] + [rng.uniform(-2, 2) * 10 ** rng.randint(-12, 12) for _ in range(300)]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", similarity.two_digits(F.col("x")).alias("t")).collect()
+    assert [r.t for r in got] == [f"{r.x:.2f}" for r in got]
+    one = F.array(F.struct(F.lit("d").alias("doc_id"), F.lit("0").alias("chunk_id"), F.lit(0.345).alias("score")))
+    assert spark.range(1).select(similarity.similarity_hits(one, 0.3, "block", F.lit(None).cast("string")).alias("h")).first().h[0].matched == "sim=0.34 doc=d"
