@@ -4,10 +4,12 @@ import datetime
 import math
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siltgate.operators import detectors
+from siltgate.operators.similarity import nearest
 from siltgate.plans.queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -76,3 +78,33 @@ def test_a_card_before_an_address_is_not_drawn_into_it(spark, tmp_path):
     assert rows_of(df.columns, df.collect()) == rows_of(columns, got.fetchall())
     hits = spark.createDataFrame([(whole[0],)], "text string").select(detectors.recognise(F.col("text")).alias("r")).first().r
     assert ("CREDIT_CARD", 0, 16) in {(h.entity_type, h.start, h.end) for h in hits}
+
+
+def test_similarity_hits_equal_their_sql_on_copies_and_half_hundredths(spark, tmp_path):
+    """Scores such as 0.565 and 0.625, which decimal rounding prints otherwise, and copies that tie over many tasks."""
+    rng = np.random.default_rng(5)
+    wanted = [0.565, 0.625, 0.875, 0.995, 0.785, 0.545]
+    rows = [(50 * (i + 1), [1.0 if j == 2 * i else 0.0 for j in range(16)]) for i in range(6)]
+    rows += [(50 * (i + 1) + 1, [s if j == 2 * i else (1 - s * s) ** 0.5 if j == 2 * i + 1 else 0.0 for j in range(16)]) for i, s in enumerate(wanted)]
+    copies = rng.normal(size=(3, 16))
+    rows += [(1000 + i, [float(x) for x in copies[i % 3]]) for i in range(240)]
+    df = spark.createDataFrame([(i, v, i % 3) for i, v in rows], "vec_id long, embedding array<double>, label long")
+    df.repartition(7).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("similarity_hits", "similarity_topk"):
+        got = con.execute(ORACLE_SQL[name])
+        columns = [d[0] for d in got.description]
+        want = rows_of(columns, got.fetchall())
+        found = QUERIES[name](spark, str(tmp_path))
+        assert rows_of(found.columns, found.collect()) == want
+
+
+def test_scores_of_copies_do_not_depend_on_their_tile():
+    rng = np.random.default_rng(0)
+    asked, base = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (rng.normal(size=(5, 64)), rng.normal(size=(203, 64))))
+    whole = {(q, r): s for q, r, s in zip(*nearest(asked, base, 203), strict=True)}
+    for a in range(0, 203, 7):
+        for q in range(5):
+            _, r, s = nearest(asked[q : q + 1], base[a : a + 7], 7)
+            assert [whole[q, a + i] for i in r] == s.tolist()
