@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the smallest id stays."""
+    """Of each group of near copies the smallest id stays: SimHash fingerprints in BK-trees, then five-word shingle sets at 0.8."""
     return simhash.keep_one(docs)
 
 

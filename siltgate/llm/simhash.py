@@ -44,6 +44,8 @@ RADIUS = 2
 TREE = 8_192
 #: Fingerprints, counted once for each work item that they are in, that a Python worker has at a time, about.
 GROUP_ROWS = 40_000
+#: Nodes of BK-trees that a block of queries visits at a wide radius, at most, about.
+VISITED = 1 << 19
 #: Shingles that are hashed at a time.
 HASHED = 1 << 17
 
@@ -106,7 +108,7 @@ class BKForest:
     def __init__(self, values: np.ndarray, shard: np.ndarray):
         by = np.argsort(shard, kind="stable")
         self.values, shard = values[by], shard[by]
-        self.shards, root = np.unique(shard, return_index=True)
+        self.shards, root, self.sizes = np.unique(shard, return_index=True, return_counts=True)
         self.roots = root.astype(np.int64)
         n = len(values)
         parent, key = np.full(n, -1, np.int64), np.zeros(n, np.int64)
@@ -129,15 +131,27 @@ class BKForest:
 
     def within(self, queries: np.ndarray, shard: np.ndarray, radius: int, block: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Arrays (query number, found fingerprint) of all pairs of a shard within the radius, a block of queries at a time."""
+        for q, node in self.nodes_within(queries, shard, radius, block):
+            yield q, self.values[node]
+
+    def nodes_within(self, queries: np.ndarray, shard: np.ndarray, radius: int, block: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """As :meth:`within`, with numbers of fingerprints (those of a shard together, in the given order).
+
+        Without ``block``, which a wide radius asks for, a block's queries have VISITED nodes in their trees, about.
+        """
         tree = np.searchsorted(self.shards, shard)
         known = np.flatnonzero((tree < len(self.shards)) & (self.shards[np.minimum(tree, len(self.shards) - 1)] == shard)) if len(self.shards) else np.zeros(0, np.int64)
-        for a in range(0, len(known), block):
-            q = known[a : a + block]
+        if block:
+            cuts = [*range(0, len(known), block), len(known)]
+        else:
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(self.sizes[tree[known]]) // VISITED)) + 1).tolist(), len(known)]
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            q = known[x:y]
             node = self.roots[tree[q]]
             while len(q):
                 d = np.bitwise_count(self.values[node] ^ queries[q]).astype(np.int64)
                 near = d <= radius
-                yield q[near], self.values[node[near]]
+                yield q[near], node[near]
                 low = np.searchsorted(self.edges, node * 65 + np.maximum(d - radius, 0), "left")
                 high = np.searchsorted(self.edges, node * 65 + np.minimum(d + radius, 64), "right")
                 n = high - low
@@ -282,6 +296,9 @@ BANDS, ROWS = 6, 2
 #: Smallest shingle hashes that a text keeps, and the similarity that they must show for whole sets to be compared:
 #: at 0.8 the estimate's standard error is 0.04, so that about one true pair in 10,000 is below.
 SKETCH, LOOSE = 96, 0.65
+#: Bits that fingerprints of distinct shingles differ in, at most, for whole sets to be compared. By the exact odds for
+#: independent hashes a pair at 0.8 is beyond that once in 8,000 (four shingles of five) to 400,000 (hundreds).
+NEAR_RADIUS = 24
 #: Bytes of shingle hashes of one piece of a group whose whole sets are compared, at most, about.
 PIECE_BYTES = 16 << 20
 #: Shingle hashes that are compared at a time.
@@ -377,12 +394,45 @@ def _marks(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(bits, axis=1).view(np.uint64), np.bincount(row, minlength=len(sketch))
 
 
-def _met(place: np.ndarray, size: np.ndarray, sketch: np.ndarray, shard: np.ndarray, in_tree: np.ndarray, in_query: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places that meet in a shard, without those that are too unlike in size or cannot pass :func:`similar`.
+def _bounds(size: np.ndarray, sketch: np.ndarray, similarity: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Which pairs of places are not too unlike in size and could pass :func:`similar`: no pair that passes the check fails."""
+    marks, count = _marks(sketch)
+
+    def could(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        unlike = np.bitwise_count(marks[a] ^ marks[b]).sum(axis=1, dtype=np.int64)
+        alike = unlike <= count[a] + count[b] - 2 * LOOSE * np.maximum(count[a], count[b]) + 1e-9
+        return alike & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9)
+
+    return could
+
+
+def tree_pairs(place: np.ndarray, fp: np.ndarray, shard: np.ndarray, in_tree: np.ndarray, in_query: np.ndarray, radius: int = NEAR_RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places that meet in a shard with fingerprints within the radius, each once: found in the shards' BK-trees.
 
-    Both gates are bounds, which no pair that passes the check fails. ``size`` and ``sketch`` are by place, the rest by row.
+    ``fp`` is by place, the rest by row. Places with one fingerprint are one node of a tree.
     """
-    marks, count = _marks(sketch)
+    asked, own = np.flatnonzero(in_query), np.flatnonzero(in_tree)
+    own = own[np.lexsort((fp[place[own]], shard[own]))]
+    f, s = fp[place[own]], shard[own]
+    first = np.ones(len(own), np.bool_)
+    first[1:] = (s[1:] != s[:-1]) | (f[1:] != f[:-1])
+    start = np.flatnonzero(first)
+    many = np.diff(np.append(start, len(own)))
+    for q, node in BKForest(f[start], s[start]).nodes_within(fp[place[asked]], shard[asked], radius):
+        n = many[node]
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(n) // COMPARED)) + 1).tolist(), len(q)]
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            ends = np.cumsum(n[x:y])
+            a = np.repeat(asked[q[x:y]], n[x:y])
+            b = own[np.repeat(start[node[x:y]] - (ends - n[x:y]), n[x:y]) + np.arange(len(a))]
+            # Where a row is in the tree and asked too, both orders of a pair are found.
+            once = ~in_tree[a] | (a < b)
+            yield place[a[once]], place[b[once]]
+
+
+def _met(place: np.ndarray, size: np.ndarray, sketch: np.ndarray, shard: np.ndarray, in_tree: np.ndarray, in_query: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places that meet in a shard and are within :func:`_bounds`. ``size`` and ``sketch`` are by place, the rest by row."""
+    could = _bounds(size, sketch, similarity)
     by = np.lexsort((size[place], shard))
     place, s, t, q = place[by], shard[by], in_tree[by], in_query[by]
     left = np.arange(len(by))
@@ -394,9 +444,8 @@ def _met(place: np.ndarray, size: np.ndarray, sketch: np.ndarray, shard: np.ndar
             return
         cross = (t[left] & q[left + d]) | (q[left] & t[left + d])
         a, b = place[left[cross]], place[left[cross] + d]
-        unlike = np.bitwise_count(marks[a] ^ marks[b]).sum(axis=1, dtype=np.int64)
-        could = unlike <= count[a] + count[b] - 2 * LOOSE * np.maximum(count[a], count[b]) + 1e-9
-        yield a[could], b[could]
+        near = could(a, b)
+        yield a[near], b[near]
 
 
 def _dealt(held: DataFrame, total: int, a_group: int) -> tuple[DataFrame, Column]:
@@ -423,22 +472,29 @@ def _stars(both: np.ndarray, root: np.ndarray) -> pa.Table:
     return pa.table({"u": both[some], "v": both[root[some]]})
 
 
-def loose_links(distinct: DataFrame, similarity: float = SIMILARITY, tree: int = TREE) -> DataFrame:
-    """Stars (u, v) over nodes (node, n, sketch, bands): linked if a shard has both and their sketches show LOOSE."""
+def loose_links(distinct: DataFrame, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS, tree: int = TREE) -> DataFrame:
+    """Stars (u, v) over nodes (node, n, print, sketch, bands): linked if a shard's BK-trees find their fingerprints
+    within the radius and their sketches show LOOSE."""
     cells = distinct.select("node", F.explode("bands").alias("shard"))
     sizes = stored(cells.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").withColumn("pieces", F.ceil(F.col("n") / tree).cast("int")), "simhash-shards")
     total = sizes.agg(F.sum(F.col("n") * F.col("pieces"))).first()[0] or 0
     # Sketches travel once by node, and then only those of nodes that share a shard with another.
     shared = cells.join(sizes.select("shard", "pieces"), "shard").groupBy("node").agg(F.collect_list(F.struct("shard", "pieces")).alias("shards"))
-    held = shared.join(distinct.select("node", "n", "sketch"), "node").select("node", "n", "sketch", F.explode("shards").alias("s")).select("node", "n", "sketch", "s.*")
+    held = shared.join(distinct.select("node", "n", "print", "sketch"), "node").select("node", "n", "print", "sketch", F.explode("shards").alias("s")).select("node", "n", "print", "sketch", "s.*")
     own, group = _dealt(held, total, GROUP_ROWS)
 
     def run(_: tuple, rows: pa.Table) -> pa.Table:
         both, at, place, col, shard = _item(rows)
         sketch = np.frombuffer(b"".join(rows.column("sketch").take(pa.array(at)).to_pylist()), np.uint64).reshape(len(both), SKETCH)
-        size = rows.column("n").to_numpy()[at]
-        pairs = _met(place, size, sketch, shard, col["in_tree"], col["in_query"], similarity)
-        return _stars(both, _roots(len(both), pairs, lambda a, b: similar(sketch[a], sketch[b], LOOSE)))
+        could = _bounds(rows.column("n").to_numpy()[at], sketch, similarity)
+        pairs = tree_pairs(place, rows.column("print").to_numpy()[at].view(np.uint64), shard, col["in_tree"], col["in_query"], radius)
+
+        def holds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            true = could(a, b)
+            true[true] = similar(sketch[a[true]], sketch[b[true]], LOOSE)
+            return true
+
+        return _stars(both, _roots(len(both), pairs, holds))
 
     return own.groupBy(group).applyInArrow(run, "u long, v long")
 
@@ -479,11 +535,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _near(docs: DataFrame, low: Column, words: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """doc_id, a, b, fp of every row, and what :func:`_rooted` gives for links between texts of at least that similarity.
 
-    Texts with equal shingle sets are one node, and ``fp`` is the set's number. Blocks of a fingerprint's bits make no
-    shards at this similarity; minima of the shingle hashes do. All pairs of a shard are compared on their texts'
+    Texts with equal shingle sets are one node, and ``fp`` is the set's number. Each node has a fingerprint (``print``) of
+    its distinct shingles, as the similarity is of those. Blocks of its bits make no shards at this similarity; minima of
+    the shingle hashes do. A shard's BK-trees find the pairs within NEAR_RADIUS, which are compared on their texts'
     smallest shingle hashes, loosely; whole shingle sets then decide every pair of the groups that this makes.
     """
-    fields = [T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("print", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
     keep = ["doc_id", "a", "b"]
     keyed = _keyed(docs)
     schema = T.StructType([*(keyed.schema[c] for c in keep), *fields])
@@ -496,12 +553,12 @@ def _near(docs: DataFrame, low: Column, words: int, similarity: float) -> tuple[
                 h, at = shingle_sets(hashes, off)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(at)) * BANDS, pa.int32()), pa.array(keys.view(np.int64).ravel()))
                 bands = pc.if_else(pa.array(np.diff(at) == 0), pa.scalar([], bands.type), bands)
-                made = [pa.array(set_ids(h, at).view(np.int64)), pa.array(np.diff(at)), pa.array([row.tobytes() for row in least], pa.binary()), bands]
+                made = [pa.array(set_ids(h, at).view(np.int64)), pa.array(np.diff(at)), pa.array(majority(h, at).view(np.int64)), pa.array([row.tobytes() for row in least], pa.binary()), bands]
                 yield pa.RecordBatch.from_arrays([piece.column(c) for c in keep] + made, schema.names)
 
     made = stored(map_texts(keyed, run, schema), "simhash-sketches")
     with scratch(docs.sparkSession) as put:
-        one = F.min_by(F.struct("n", "sketch", "bands", "a", "b"), F.struct("a", "b")).alias("s")
+        one = F.min_by(F.struct("n", "print", "sketch", "bands", "a", "b"), F.struct("a", "b")).alias("s")
         distinct = put(made.groupBy(F.col("fp").alias("node")).agg(one).select("node", "s.*"), "simhash-distinct-sketches")
         groups = components(loose_links(distinct, similarity))
         return made, *_rooted(made, low, lambda _: exact_links(docs, distinct, groups, words, similarity))

@@ -117,3 +117,24 @@ def test_sketch_similarity_is_exact_for_few_shingles():
     least, keys = simhash.sketches(hashes, off)
     assert simhash.similar(least[:1], least[1:2], 43 / 46)[0] and not simhash.similar(least[:1], least[1:2], 43.1 / 46)[0]
     assert not keys[2].any()
+
+
+def test_trees_find_all_pairs_of_a_shard_within_a_wide_radius(monkeypatch):
+    """Copies of fingerprints, rows of several shards, trees and queries apart: each pair once, as all pairs have it."""
+    rng = np.random.default_rng(11)
+    n, rows = 120, 400
+    fp = rng.integers(0, 2**64, n, np.uint64)
+    fp[n // 2 :] = fp[rng.integers(0, n // 2, n - n // 2)] ^ np.uint64(0b1011)
+    fp[:10] = fp[0]
+    at = np.unique(np.stack([rng.integers(0, n, rows), rng.integers(0, 3, rows)]), axis=1)
+    place, shard = at[0], at[1]
+    whole = np.ones(len(place), np.bool_)
+    half = place % 2 == 0
+    for visited, compared in ((1 << 19, 1 << 20), (64, 16)):
+        monkeypatch.setattr(simhash, "VISITED", visited)
+        monkeypatch.setattr(simhash, "COMPARED", compared)
+        for radius in (3, 24):
+            for tree, asked in ((whole, whole), (half, ~half)):
+                want = sorted((min(a, b), max(a, b)) for i, a in enumerate(place) for j, b in enumerate(place) if shard[i] == shard[j] and tree[i] and asked[j] and (i < j or not tree[j]) and int(fp[a] ^ fp[b]).bit_count() <= radius)
+                got = sorted((min(a, b), max(a, b)) for x, y in simhash.tree_pairs(place, fp, shard, tree, asked, radius) for a, b in zip(x.tolist(), y.tolist(), strict=True))
+                assert got == want and want

@@ -675,3 +675,15 @@ def test_licence_windows_do_not_depend_on_pieces(spark, monkeypatch):
         got.append(sorted((r["file"], r["run"], tuple(r["t"])) for r in licenses.windows(marked, shares).collect()))
     assert got[0] == got[1]
     assert any(run < licenses.WHOLE_RUN for _, run, _ in got[0])
+
+
+def test_near_copies_are_found_by_trees_of_fingerprints(spark, monkeypatch):
+    """The stage's links come from BK-trees: of fingerprints within the radius only, and of equal ones only at radius zero."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=7))
+    base = [word() for _ in range(200)]
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join([*base, word()])), (3, " ".join(base).upper()), (4, word())], "doc_id long, text string")
+    found = lambda: {r.doc_id: r.component_id for r in simhash.near_clusters(docs).collect()}
+    assert found() == {1: 1, 2: 1, 3: 1, 4: 4}
+    monkeypatch.setattr(simhash.loose_links, "__defaults__", (simhash.SIMILARITY, 0, simhash.TREE))
+    assert found() == {1: 1, 2: 2, 3: 1, 4: 4}
