@@ -16,29 +16,38 @@ ESCAPE = 15
 BLOCK = 1_024
 
 
+def _runs(holds: np.ndarray, count: int) -> np.ndarray:
+    """Whether ``count`` elements from each one on hold; beyond the end none does."""
+    out, have = holds, 1
+    while have < count:
+        step = min(have, count - have)
+        out = np.concatenate([out[:-step] & out[step:], np.zeros(min(step, len(out)), np.bool_)])
+        have += step
+    return out
+
+
 def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """(words, offsets): block i of the ids is ``words[offsets[i]:offsets[i + 1]]``."""
-    ids = ids.astype(np.uint64)
+    given, ids = ids, ids.astype(np.uint64)
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
     blocks = -(-n // block)
     ends = np.minimum((np.arange(blocks) + 1) * block, n)
     # For each id the best selector for a word that starts with it. Where the ids of one selector fit, those of
-    # every selector with fewer and wider ids do, so each step looks only at what the step before left over.
-    choice = np.full(n, ESCAPE, np.int8)
-    left = np.repeat(ends, np.diff(np.concatenate([[0], ends]))) - np.arange(n)
-    open_, largest = np.arange(n), int(ids.max())
+    # every selector with fewer and wider ids do, so each step only takes away from what the step before left over.
+    choice, fits = np.full(n, ESCAPE, np.int8), np.ones(n, np.bool_)
+    left = np.tile(np.arange(block, 0, -1, dtype=np.int32), blocks)[:n]
+    left[(blocks - 1) * block :] = np.arange(n - (blocks - 1) * block, 0, -1)
+    largest = int(ids.max())
     for s in range(len(COUNTS) - 1, -1, -1):
-        c = int(COUNTS[s])
-        open_ = open_[left[open_] >= c]
+        fits &= left >= COUNTS[s]
         limit = (1 << int(BITS[s])) - 1
         if largest > limit:
-            wide = np.concatenate([[0], np.cumsum(ids > np.uint64(limit), dtype=np.int32)])
-            open_ = open_[wide[open_ + c] == wide[open_]]
-        if not len(open_):
+            fits &= _runs(given <= limit, int(COUNTS[s]))
+        if not fits.any():
             break
-        choice[open_] = s
+        choice[fits] = s
     # All blocks go forward one word at a time.
     at, lane = np.arange(blocks) * block, np.arange(blocks)
     heads, lanes = [], []

@@ -22,9 +22,11 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,15 +90,24 @@ def pieces(column: pa.Array) -> pa.Array:
     cut[1:] = _CUT[kind[:-1] * 5 + kind[1:]]
     inner = off[1:-1]
     cut[inner[inner < len(raw)]] = False
-    at = np.cumsum(cut, dtype=np.int64)
-    out = np.full(len(raw) + int(at[-1]), 0x20, np.uint8)
-    out[np.arange(len(raw)) + at] = raw
-    moved = np.concatenate([[0], at])[off] + off
+    at = np.flatnonzero(cut)
+    kept = np.ones(len(raw) + len(at), np.bool_)
+    kept[at + np.arange(len(at))] = False
+    out = np.full(len(kept), 0x20, np.uint8)
+    out[kept] = raw
+    moved = np.searchsorted(at, off) + off
     if moved[-1] < 1 << 31:
         return pa.StringArray.from_buffers(len(column), pa.py_buffer(moved.astype(np.int32)), pa.py_buffer(out))
     return pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(moved), pa.py_buffer(out))
 
 
+def _names(distinct: pa.Array) -> list[str]:
+    """Words as Python strings: none has a space, so one long string is made and split, unless that would be too long."""
+    if not len(distinct) or not pa.types.is_string(distinct.type) or distinct.nbytes > 1 << 28:
+        return distinct.to_pylist()
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), " ")[0].as_py().split(" ")
+
+
 class Encoder:
     """Ids of texts, with the memory of words that one worker keeps."""
 
@@ -155,18 +166,18 @@ class Encoder:
             column = pieces(column)
         word, at = flat.words(column)
         code, distinct = flat.codes(word)
-        names = distinct.to_pylist()
-        found = list(map(self.place.get, names))
-        new = [w for w, p in zip(names, found, strict=True) if p is None]
-        if new:
-            if self.n + len(new) > MEMORY:
+        names = _names(distinct)
+        place = np.fromiter(map(self.place.get, names, repeat(-1)), np.int64, len(names))
+        unknown = np.flatnonzero(place < 0)
+        if len(unknown):
+            if self.n + len(unknown) > MEMORY:
                 self.forget()
-                new = names
-                if len(new) > MEMORY:
-                    self.off = np.zeros(len(new) + 1, np.int64)
+                unknown = np.arange(len(names))
+                if len(names) > MEMORY:
+                    self.off = np.zeros(len(names) + 1, np.int64)
+            new = [names[i] for i in unknown.tolist()]
             self._learn(new)
-            found = list(map(self.place.__getitem__, names))
-        place = np.array(found, np.int64)
+            place[unknown] = np.fromiter(map(self.place.__getitem__, new), np.int64, len(new))
         begin, size = self.off[place], self.off[place + 1] - self.off[place]
         # The end id stands after the words of each text: as a word of its own, whose id is put in afterwards.
         n = len(at) - 1

@@ -11,7 +11,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from siltgate.llm import flat, simhash, simple8b, text_stats
+from siltgate.llm import flat, simhash, simple8b, text_stats, tokens
 
 ODD = ["", " ", "\n\n", "a\x1cb c d", "É é x", "\ta\x0b\x0c\r\nb", "日本 語", "word " * 50]
 TEXT = st.lists(st.sampled_from(["ab ", "é ", "\n", "c# ", " \x0b", "x y ", "|", "a long line\n", "ÀÉ", "\x1c"]), max_size=80).map("".join)
@@ -138,3 +138,29 @@ def test_trees_find_all_pairs_of_a_shard_within_a_wide_radius(monkeypatch):
                 want = sorted((min(a, b), max(a, b)) for i, a in enumerate(place) for j, b in enumerate(place) if shard[i] == shard[j] and tree[i] and asked[j] and (i < j or not tree[j]) and int(fp[a] ^ fp[b]).bit_count() <= radius)
                 got = sorted((min(a, b), max(a, b)) for x, y in simhash.tree_pairs(place, fp, shard, tree, asked, radius) for a, b in zip(x.tolist(), y.tolist(), strict=True))
                 assert got == want and want
+
+
+def test_names_are_the_words():
+    for words in ([], ["a"], ["é", "x\x00y", "一二", "\u3000z", "a"]):
+        assert tokens._names(pa.array(words, pa.string())) == words
+        assert tokens._names(pa.array(words, pa.large_string())) == words
+
+
+def test_runs_and_greedy_words():
+    """Every word holds as many of the ids from its first one on as any selector can, within the block."""
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 59, 60, 61, 300):
+        holds = rng.random(n) < 0.8
+        for count in (1, 2, 3, 7, 60):
+            assert simple8b._runs(holds, count).tolist() == [i + count <= n and bool(holds[i : i + count].all()) for i in range(n)]
+    for kind, block in ((np.uint32, 64), (np.uint64, 100)):
+        ids = (2.0 ** rng.integers(0, 32, 700) * rng.random(700)).astype(kind)
+        ids[100:400] //= 1 << 20
+        words, at = simple8b.encode(ids, block)
+        for k in range(len(at) - 1):
+            rest, mine = ids[k * block : (k + 1) * block].tolist(), words[at[k] : at[k + 1]].tolist()
+            for word in mine:
+                best = next(s for s, (c, b) in enumerate(zip(simple8b.COUNTS, simple8b.BITS, strict=True)) if c <= len(rest) and max(rest[:c]) < 1 << int(b))
+                assert word >> 60 == best
+                rest = rest[simple8b.COUNTS[best] :]
+            assert not rest
