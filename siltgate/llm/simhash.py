@@ -297,7 +297,7 @@ BANDS, ROWS = 6, 2
 #: at 0.8 the estimate's standard error is 0.04, so that about one true pair in 10,000 is below.
 SKETCH, LOOSE = 96, 0.65
 #: Bits that fingerprints of distinct shingles differ in, at most, for whole sets to be compared. By the exact odds for
-#: independent hashes a pair at 0.8 is beyond that once in 8,000 (four shingles of five) to 400,000 (hundreds).
+#: independent hashes a pair at 0.8 is beyond that once in 8,000 (four shingles of five) to 300,000 (hundreds).
 NEAR_RADIUS = 24
 #: Bytes of shingle hashes of one piece of a group whose whole sets are compared, at most, about.
 PIECE_BYTES = 16 << 20
