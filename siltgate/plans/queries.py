@@ -12,7 +12,7 @@ from siltgate.functions import checks
 from siltgate.functions import text as rewritings
 from siltgate.functions.spans import find_all
 from siltgate.operators import detectors, semantic, verdicts
-from siltgate.operators.similarity import best_score, matches, similarity_hits, top_k_of_all
+from siltgate.operators.similarity import best_score, matches, similarity_hits, top_k_of_all, top_k_of_each
 from siltgate.plans import cases, evaluate, messages
 from siltgate.plans.scan import scan
 from siltgate.schema import HITS, empty, hit
@@ -390,7 +390,7 @@ SELECT category, count(*) AS n, max(CASE category WHEN 'proprietary-source' THEN
 """
 
 
-# ---- Similarity and evaluation: every vector whose id is divisible by 50 against all vectors ----
+# ---- Similarity and evaluation: every vector whose id is divisible by 50 against all vectors; hits: every vector ----
 
 
 def _nearest(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -412,15 +412,21 @@ pairs AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM pairs)"""
 SIMILAR = f"WITH {_PAIRS} SELECT query_id, doc_id, round(score, 4) AS score FROM ranked WHERE rank <= 6 AND query_id <> doc_id"
 
+_ALL_PAIRS = _PAIRS.replace(" WHERE q.vec_id % 50 = 0", "")
+
 
 def q_similarity_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = _nearest(spark, sf_dir, 5).withColumn("chunk_id", F.lit("0"))
+    """Every row against all rows; one without a vector, or that meets no other vector, has no score."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    near = top_k_of_each(vectors, 6).where(F.col("query_id") != F.col("doc_id")).withColumn("chunk_id", F.lit("0"))
     found = matches(near).select("query_id", best_score(F.col("similar")).alias("max_similarity"), similarity_hits(F.col("similar"), 0.5, "block", no_path()).alias("h"))
-    return found.select("query_id", "max_similarity", F.get("h", F.lit(0))["rule"].alias("rule"), F.get("h", F.lit(0))["matched"].alias("matched"))
+    ids, ends = vectors.select(F.col("doc_id").alias("query_id")).distinct(), vectors.agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    every = ids.crossJoin(F.broadcast(ends)).where("first <> last").select("query_id").join(found, "query_id", "left")
+    return every.select("query_id", "max_similarity", F.get("h", F.lit(0))["rule"].alias("rule"), F.get("h", F.lit(0))["matched"].alias("matched"))
 
 
 SIMILARITY_HITS = f"""
-WITH {_PAIRS}, best AS (SELECT query_id, max(round(score, 4)) AS s, min_by(doc_id, rank) AS doc_id FROM ranked WHERE rank <= 6 AND query_id <> doc_id GROUP BY query_id)
+WITH {_ALL_PAIRS}, best AS (SELECT query_id, max(round(score, 4)) AS s, min_by(doc_id, rank) AS doc_id FROM ranked WHERE rank <= 6 AND query_id <> doc_id GROUP BY query_id)
 SELECT query_id, s AS max_similarity, CASE WHEN s >= 0.5 THEN 'rag:' || CAST(doc_id AS STRING) || '#0' END AS rule,
   CASE WHEN s >= 0.5 THEN printf('sim=%.2f doc=%d', s, doc_id) END AS matched FROM best
 """

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltgate.operators import detectors
-from siltgate.operators.similarity import nearest
+from siltgate.operators import similarity
+from siltgate.operators.similarity import Best, nearest
 from siltgate.plans.queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -108,3 +109,39 @@ def test_scores_of_copies_do_not_depend_on_their_tile():
         for q in range(5):
             _, r, s = nearest(asked[q : q + 1], base[a : a + 7], 7)
             assert [whole[q, a + i] for i in r] == s.tolist()
+
+
+def test_similarity_hits_are_for_every_row(spark, tmp_path, monkeypatch):
+    """Rows whose id is not divisible by 50 have hits too, in whatever blocks and tiles; rows without a vector are rows."""
+    monkeypatch.setattr(similarity, "LEAST_ROWS", 40)
+    monkeypatch.setattr(similarity, "TILE", (16, 24))
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(150)]
+    rows += [(150 + i, rows[3][1]) for i in range(60)] + [(210, None), (250, None)]
+    df = spark.createDataFrame([(i, v, i % 3) for i, v in rows], "vec_id long, embedding array<double>, label long")
+    for name, some in (("all", df), ("one", df.where("vec_id = 7")), ("none", df.where("vec_id < 0")), ("two", df.where("vec_id in (7, 210)"))):
+        some.repartition(3).write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+        con = duckdb.connect()
+        con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[], label BIGINT)")
+        for r in some.collect():
+            con.execute("INSERT INTO embeddings VALUES (?, ?, ?)", tuple(r))
+        got = con.execute(ORACLE_SQL["similarity_hits"])
+        columns = [d[0] for d in got.description]
+        found = QUERIES["similarity_hits"](spark, f"{tmp_path}/{name}")
+        result = found.collect()
+        assert len(result) == {"all": 212, "one": 0, "none": 0, "two": 2}[name]
+        assert rows_of(found.columns, result) == rows_of(columns, got.fetchall())
+
+
+def test_the_best_of_streamed_rows_are_the_nearest():
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(1_003, 32))
+    base[rng.integers(0, 1_003, 400)] = base[5]
+    base[700:720] = base[5] * 3 + rng.normal(size=(20, 32)) * 1e-7
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    best = Best(base[::3], 7)
+    for a in (*range(0, 5), *range(5, 1_003, 97)):
+        b = a + 1 if a < 5 else min(a + 97, 1_003)
+        best.add(base[a:b], np.arange(a, b))
+    for got, want in zip(best.of(0, len(base)), nearest(base[::3], base, 7), strict=True):
+        assert got.tolist() == want.tolist()
